@@ -6,65 +6,82 @@ numeric parts, so a bad value gives null and never raises under ANSI mode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hotelspark.functions.text import is_blank, is_blank_any_case
 from hotelspark.session import HOTEL_ZONE
 
-_TIME = r"(?:\s+(\d{1,2})[:.](\d{1,2})(?:[:.](\d{1,2})(?:\.\d{1,9})?)?)?"
-_ZONE = r"\s*(Z|[+-]\d{2}(?::?\d{2})?)?"
-_YEAR_FIRST = r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _TIME + _ZONE + "$"
-_YEAR_LAST = r"^(\d{1,2})-(\d{1,2})-(\d{4})" + _TIME + _ZONE + "$"
+_DATE = r"(\d{1,4})[-/](\d{1,2})[-/](\d{1,4})"
+# A date of three numbers, an optional time with : or . between its parts, and a zone only after a time.
+_STAMP = (
+    "^" + _DATE + r"(?:(?:\s+|[Tt])(\d{1,2})[:.](\d{1,2})(?:[:.](\d{1,2})(?:\.\d{1,9})?)?"
+    r"\s*(Z|[+-](?:0\d|1[0-7])(?::?[0-5]\d)?)?)?$"
+)
+_DAY = "^" + _DATE.replace("-/", "-/.") + r"(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?$"
+
+
+def _int(digits: Column) -> Column:
+    """Integer of a captured group; an empty one is null before the cast, as a failing try_cast is slow."""
+    return F.when(digits != "", digits.try_cast("int"))
 
 
 def _part(s: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(s, pattern, group).try_cast("int")
+    return _int(F.regexp_extract(s, pattern, group))
 
 
-def _or_zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0))
+def _with_parts(s: Column, pattern: str, groups: int, build: Callable[[Column], Column]) -> Column:
+    """``build`` applied to the captured groups as an array; null when the pattern does not match.
 
+    The pattern is run once per value: the lambda binds its result, where a plain expression would repeat it.
+    """
+    marks = "|".join(f"${i + 1}" for i in range(groups))
+    parts = F.split(F.regexp_replace(s, pattern, marks), r"\|", -1)
+    return F.transform(F.array(parts), lambda x: F.when(F.size(x) == groups, build(x)))[0]
 
-def _build(s: Column, pattern: str, y: int, m: int, d: int, seconds: Column) -> Column:
-    year, month, day = (_part(s, pattern, g) for g in (y, m, d))
-    start = F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0))
-    return F.try_add(start, F.make_dt_interval(secs=seconds))
 
+def _long_year(two_digits: Column) -> Column:
+    """69-99 are 19xx, others 20xx."""
+    return F.concat(F.when(two_digits < "69", F.lit("20")).otherwise(F.lit("19")), two_digits)
 
-def _clock(s: Column, pattern: str) -> Column:
-    """Seconds since midnight, null when an hour, minute or second is out of range."""
-    h, mi, sec = (_or_zero(_part(s, pattern, g)) for g in (4, 5, 6))
-    return F.when((h < 24) & (mi < 60) & (sec < 60), h * 3600 + mi * 60 + sec).cast("decimal(18,6)")
 
+def _read_date(x: Column, read: Callable[[Column], Column], month_first: bool, short_years: str = "") -> Column:
+    """A date from three texts: a four-digit year in front or behind; month and day in the preferred order,
+    then the other. ``short_years`` names the orders allowed with a two-digit year: "d" day first, "dm" both.
 
-def _to_hotel_time(ts: Column, s: Column, pattern: str) -> Column:
-    """Shift a value that carries an offset to the hotel's wall clock; leave others as they are."""
-    zone = F.regexp_extract(s, pattern, 7)
-    digits = F.regexp_replace(zone, r"[^\d]", "")
-    minutes = _or_zero(F.substring(digits, 1, 2).try_cast("int")) * 60 + _or_zero(
-        F.substring(digits, 3, 2).try_cast("int")
+    ``read`` gets ISO text. Casting text is far cheaper than building dates from parsed numbers.
+    """
+    at = lambda y, m, d: read(F.concat(y, F.lit("-"), m, F.lit("-"), d))
+    a, b, c = x[0], x[1], x[2]
+    orders = ((a, b), (b, a)) if month_first else ((b, a), (a, b))
+    out = F.when((F.length(a) == 4) & (F.length(c) <= 2), at(a, b, c)).when(
+        (F.length(c) == 4) & (F.length(a) <= 2), F.coalesce(*[at(c, m, d) for m, d in orders])
     )
-    signed = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
-    utc = F.try_subtract(ts, F.make_dt_interval(mins=signed))
-    local = F.convert_timezone(F.lit("UTC"), F.lit(HOTEL_ZONE), utc)
-    has_clock = F.regexp_extract(s, pattern, 4) != ""
-    return F.when((zone != "") & has_clock, local).when(zone == "", ts)
+    if not short_years:
+        return out
+    readings = [at(_long_year(c), *({"d": (b, a), "m": (a, b)}[o])) for o in short_years]
+    return out.when((F.length(c) == 2) & (F.length(a) <= 2), F.coalesce(*readings))
+
+
+def _stamp(s: Column, short_years: str = "") -> Column:
+    def build(x: Column) -> Column:
+        or_zero = lambda c: F.when(c == "", F.lit("0")).otherwise(c)
+        clock = F.concat(F.lit(" "), or_zero(x[3]), F.lit(":"), or_zero(x[4]), F.lit(":"), or_zero(x[5]))
+        at = _read_date(x, lambda day: F.concat(day, clock).try_cast("timestamp_ntz"), True, short_years)
+        zone = F.when(F.length(x[6]) == 5, F.concat(F.substring(x[6], 1, 3), F.lit(":"), F.substring(x[6], 4, 2))).otherwise(x[6])
+        return F.when(x[6] == "", at).otherwise(F.convert_timezone(zone, F.lit(HOTEL_ZONE), at))
+    return _with_parts(s, _STAMP, 7, build)
 
 
 def parse_timestamp(c: Column) -> Column:
-    """Timestamp (no zone) on the hotel's clock.
+    """Timestamp (no zone) on the hotel's clock, whole seconds.
 
     Year-first, then month-first, then day-first; ``-`` or ``/`` between date parts; ``:`` or ``.``
     between time parts. ``Z`` and numeric offsets are honoured and only looked for after a time.
     """
-    s = F.trim(F.regexp_replace(F.regexp_replace(c.cast("string"), "/", "-"), r"(?<=\d)[Tt](?=\d)", " "))
-    first, last = _clock(s, _YEAR_FIRST), _clock(s, _YEAR_LAST)
-    return F.coalesce(
-        _to_hotel_time(_build(s, _YEAR_FIRST, 1, 2, 3, first), s, _YEAR_FIRST),
-        _to_hotel_time(_build(s, _YEAR_LAST, 3, 1, 2, last), s, _YEAR_LAST),
-        _to_hotel_time(_build(s, _YEAR_LAST, 3, 2, 1, last), s, _YEAR_LAST),
-    )
+    return _stamp(F.trim(c.cast("string")))
 
 
 def normalise_timestamp(c: Column, any_case: bool = False) -> Column:
@@ -75,62 +92,33 @@ def normalise_timestamp(c: Column, any_case: bool = False) -> Column:
 
 def compact_day(c: Column) -> Column:
     """``yyyyMMdd`` of a normalised timestamp text."""
-    return F.regexp_replace(F.substring(c, 1, 10), "-", "")
-
-
-_EXPORT_YEAR_FIRST = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?$"
-_EXPORT_YEAR_LAST = r"^(\d{1,2})-(\d{1,2})-(\d{4})(?: \d{1,2}:\d{1,2}(?::\d{1,2})?)?$"
-_EXPORT_SHORT_YEAR = r"^(\d{1,2})-(\d{1,2})-(\d{2})$"
-
-
-def _make_date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date")
-
-
-def _century(two_digits: Column) -> Column:
-    return F.when(two_digits < 69, two_digits + 2000).otherwise(two_digits + 1900)
+    return F.translate(F.substring(c, 1, 10), "-", "")
 
 
 def parse_export_date(c: Column) -> Column:
     """Date of a report cell: ISO first, then day-first, then month-first; dots and slashes allowed."""
-    s = F.trim(F.regexp_replace(F.trim(c), r"\b00:00(:00)?\b", ""))
-    s = F.regexp_replace(s, r"(?<=\d)[./](?=\d)", "-")
-    a, b, y = (_part(s, _EXPORT_YEAR_LAST, g) for g in (1, 2, 3))
-    sa, sb, sy = (_part(s, _EXPORT_SHORT_YEAR, g) for g in (1, 2, 3))
+    s = F.trim(c)
+    numeric = _with_parts(s, _DAY, 3, lambda x: _read_date(x, lambda day: day.try_cast("date"), False, "dm"))
     named = F.regexp_replace(s, r"[-,\s]+", " ")
-    return F.coalesce(
-        _make_date(*(_part(s, _EXPORT_YEAR_FIRST, g) for g in (1, 2, 3))),
-        _make_date(y, b, a),
-        _make_date(y, a, b),
-        _make_date(_century(sy), sb, sa),
-        _make_date(_century(sy), sa, sb),
-        F.try_to_timestamp(named, F.lit("d MMM yyyy")).cast("date"),
-        F.try_to_timestamp(named, F.lit("MMM d yyyy")).cast("date"),
-    )
+    months = [F.try_to_timestamp(named, F.lit(f)).cast("date") for f in ("d MMM yyyy", "MMM d yyyy")]
+    return F.when(s.rlike("[A-Za-z]{3}"), F.coalesce(*months)).otherwise(numeric)
 
 
-def export_date_text(c: Column) -> Column:
-    return parse_export_date(c).cast("string")
+def parse_short_date(c: Column) -> Column:
+    """Date written day/month/two-digit year, else null."""
+    s = F.trim(c)
+    return F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), _with_parts(
+        s, _DAY, 3, lambda x: _read_date(x, lambda day: day.try_cast("date"), False, "d")
+    ))
 
 
-_CHAT = r"^(\d{1,2})-(\d{1,2})-(\d{4}|\d{2}) (\d{1,2})\.(\d{1,2})\.(\d{1,2})$"
+def export_date_text(c: Column) -> Column:
+    return parse_export_date(c).cast("string")
 
 
 def parse_chat_timestamp(c: Column) -> Column:
     """Month-first, then day-first, then day-first with a two-digit year, times written ``HH.mm.ss``."""
-    s = F.trim(c)
-    a, b = _part(s, _CHAT, 1), _part(s, _CHAT, 2)
-    year_text = F.regexp_extract(s, _CHAT, 3)
-    y = year_text.try_cast("int")
-    long_year = F.length(year_text) == 4
-    h, mi, sec = (_part(s, _CHAT, g) for g in (4, 5, 6))
-    at = lambda yy, mm, dd: F.try_make_timestamp_ntz(yy, mm, dd, h, mi, sec)
-    return F.coalesce(
-        F.when(long_year, at(y, a, b)),
-        F.when(long_year, at(y, b, a)),
-        F.when(~long_year, at(_century(y), b, a)),
-        parse_timestamp(c),
-    )
+    return _stamp(F.trim(c), short_years="d")
 
 
 def clock_hhmm(c: Column) -> Column:

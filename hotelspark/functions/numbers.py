@@ -10,6 +10,11 @@ from hotelspark.functions.text import is_blank, fill_blank
 MONEY = "decimal(18,2)"
 
 
+def _filled(c: Column) -> Column:
+    """Null for empty text and lone signs: they cannot be numbers, and a failing try_cast is slow."""
+    return F.when(~c.isin("", "-", ".", "-."), c)
+
+
 def money(c: Column) -> Column:
     """Decimal amount: commas and symbols dropped, ``(x)`` negative, null when nothing is left.
 
@@ -17,7 +22,7 @@ def money(c: Column) -> Column:
     """
     s = F.regexp_replace(F.trim(c.cast("string")), r"[^\d.\-()]", "")
     sign = F.when(s.rlike(r"^\(.*\)$"), F.lit(-1)).otherwise(F.lit(1))
-    amount = F.regexp_replace(s, "[()]", "").try_cast("decimal(18,6)")
+    amount = _filled(F.regexp_replace(s, "[()]", "")).try_cast("decimal(18,6)")
     return (amount * sign).try_cast(MONEY)
 
 
@@ -28,21 +33,21 @@ def money_number(c: Column) -> Column:
 
 def whole_number(c: Column) -> Column:
     """Integer part of a number or numeric text, null when it is neither."""
-    return F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)(?:\.\d*)?\s*$", 1).try_cast("int")
+    return _filled(F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)(?:\.\d*)?\s*$", 1)).try_cast("int")
 
 
 def export_int(c: Column) -> Column:
     """Integer of a report cell: spaces and symbols dropped, a lone comma is a decimal point."""
     s = F.regexp_replace(F.trim(c), " ", "")
     s = F.when(s.contains(",") & ~s.contains("."), F.regexp_replace(s, ",", ".")).otherwise(s)
-    return F.regexp_replace(s, r"[^\d.\-]+", "").try_cast("double").try_cast("int")
+    return _filled(F.regexp_replace(s, r"[^\d.\-]+", "")).try_cast("double").try_cast("int")
 
 
 def export_amount(c: Column) -> Column:
     """Amount of a report cell: ``(x)`` negative only when the brackets enclose the whole cell."""
     s = F.trim(c)
     negative = s.startswith("(") & s.endswith(")")
-    body = F.regexp_replace(s, r"[^\d.\-]+", "").try_cast("decimal(18,6)")
+    body = _filled(F.regexp_replace(s, r"[^\d.\-]+", "")).try_cast("decimal(18,6)")
     return F.when(negative, -body).otherwise(body).try_cast(MONEY)
 
 

@@ -133,10 +133,7 @@ def resto_cells(df: DataFrame) -> DataFrame:
     money = lambda c: F.coalesce(
         F.regexp_replace(F.trim(F.col(c).cast("string")), ",", "").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")
     )
-    day = r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
-    part = lambda g: F.regexp_extract(F.trim("transaction_date"), day, g).try_cast("int")
-    century = F.when(part(3) < 69, part(3) + 2000).otherwise(part(3) + 1900)
-    parsed = F.try_make_timestamp_ntz(century, part(2), part(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    parsed = dates.parse_short_date(F.col("transaction_date"))
     return _apply(df, {
         "transaction_date": parsed, **{i: whole(i) for i in ints}, **{m: money(m) for m in ("sales", "payment")},
         "quantity": F.coalesce(F.trim(F.col("quantity").cast("string")).try_cast("double").try_cast("bigint"), F.lit(0)),

@@ -12,9 +12,20 @@ from hotelspark.functions.numbers import MONEY
 from hotelspark.schemas import CHAT_KEYS, MONEY_COLUMNS, PROFILE_KEYS, RESTO_KEYS, STAY_KEYS
 
 
-def _last_known(value: Column, *rank: Column) -> Column:
-    """Value at the highest rank, preferring non-null values. Mergeable, so it combines before the shuffle."""
-    return F.max_by(value, F.struct(*rank))
+def _ranked(df: DataFrame, *before: Column, rank: list[Column]) -> DataFrame:
+    """Add the two ranks a row can give a value: ``_known`` for non-null ones, ``_null`` below it."""
+    return df.withColumns({
+        "_known": F.struct(*before, F.lit(True), *rank), "_null": F.struct(*before, F.lit(False), *rank),
+    })
+
+
+def _last_known(column: str) -> Column:
+    """Value at the highest rank, preferring non-null values.
+
+    A mergeable aggregate, so it combines before the shuffle; the ranks are made once per row, not per column.
+    """
+    value = F.col(column)
+    return F.max_by(value, F.when(value.isNotNull(), F.col("_known")).otherwise(F.col("_null"))).alias(column)
 
 
 def mean_to_cents(total: Column, count: Column) -> Column:
@@ -51,19 +62,13 @@ def build_mart(
     values = [v for v in values if v not in (upload, id, deleted)]
     if not null_keys:
         df = df.dropna(subset=keys)
-    rank1 = [F.col(version), F.col(id)]
-    stage1 = df.groupBy(*keys, upload).agg(
-        *[_last_known(F.col(v), F.col(v).isNotNull(), *rank1).alias(v) for v in values],
-        _last_known(F.col(deleted), F.col(deleted).isNotNull(), *rank1).alias(deleted),
-        F.max_by(id, F.struct(*rank1)).alias("_id"),
+    stage1 = _ranked(df, rank=[F.col(version), F.col(id)]).groupBy(*keys, upload).agg(
+        *[_last_known(v) for v in [*values, deleted]], F.max_by(id, F.col("_known")).alias("_id"),
     )
-    stage1 = stage1.withColumn("_active", F.col(deleted).isNull())
-    active = F.col("_active")
-    rank2 = [F.col(upload), F.col("_id")]
-    out = stage1.groupBy(*keys).agg(
-        F.max_by(upload, F.struct(active, *rank2)).alias(upload),
-        *[_last_known(F.col(v), active, F.col(v).isNotNull(), *rank2).alias(v) for v in values if v not in averages],
-        _last_known(F.col(deleted), active, F.col(deleted).isNotNull(), *rank2).alias(deleted),
+    active = F.col(deleted).isNull()
+    out = _ranked(stage1, active, rank=[F.col(upload), F.col("_id")]).groupBy(*keys).agg(
+        F.max_by(upload, F.col("_known")).alias(upload),
+        *[_last_known(v) for v in [*values, deleted] if v not in averages],
         F.when(F.max(active), F.lit(0)).otherwise(F.lit(1)).alias("is_deleted"),
         *[
             F.struct(

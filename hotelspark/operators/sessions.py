@@ -117,13 +117,11 @@ def compact_runs(messages: DataFrame, data: str = "message_data") -> DataFrame:
 
 def flatten_insights(digests: DataFrame, *carry: str) -> DataFrame:
     """Digest lists -> one typed row per entry; null lists are empty."""
-    lists = [
-        F.transform(
-            F.coalesce(F.col(c), F.array().cast("array<string>")),
-            lambda x, t=t: F.struct(F.lit(t).alias("insight_type"), x.alias("insight_content")),
-        )
-        for c, t in INSIGHT_TYPES.items() if c in digests.columns
-    ]
+    def typed(column: str, kind: str) -> Column:
+        entries = F.coalesce(F.col(column), F.array().cast("array<string>"))
+        return F.transform(entries, lambda x: F.struct(F.lit(kind).alias("insight_type"), x.alias("insight_content")))
+
+    lists = [typed(c, t) for c, t in INSIGHT_TYPES.items() if c in digests.columns]
     return digests.select(*carry, F.explode(F.flatten(F.array(*lists))).alias("x")).select(*carry, "x.*")
 
 

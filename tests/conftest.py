@@ -11,7 +11,7 @@ SF_DIR = os.environ.get("HOTELSPARK_SF_DIR", "/root/testdata/sf0.001")
 def make_session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]").appName("hotelspark-tests")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "Asia/Jakarta")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true").getOrCreate()
     )
