@@ -104,29 +104,24 @@ def room_night_aggregate(df: DataFrame, start, end, group_by: str = "none", filt
         F.sum(F.col("rated") * F.col("days")).alias("rated"),
         F.sum(F.col("stays") * F.col("days")).alias("sold"),
     )
-    sums = per_key.rollup("key").agg(
-        F.grouping("key").alias("is_total"), F.sum("revenue").alias("revenue"), F.sum("rated").alias("rated"),
-        F.sum("sold").alias("sold"),
-    )
     pairs = clip_stays(stays, start, end).select("key", "reservation_id").distinct()
-    bookings = pairs.rollup("key").agg(
-        F.grouping("key").alias("is_total"), F.countDistinct("reservation_id").alias("bookings")
-    )
-    joined = sums.alias("s").join(
-        bookings.alias("b"),
-        (F.col("s.is_total") == F.col("b.is_total")) & F.col("s.key").eqNullSafe(F.col("b.key")),
-        "left",
+    sums = [F.sum(c).alias(c) for c in ("revenue", "rated", "sold")]
+    bookings = pairs.agg(F.countDistinct("reservation_id")).scalar()
+    # A global aggregate gives its row even when nothing matches, which a rollup would not.
+    rows = per_key.agg(*sums).select(
+        F.lit(True).alias("is_total"), F.lit(None).cast("string").alias("key"), "revenue", "rated", "sold", bookings.alias("bookings")
     )
-    rows = joined.select(
-        (F.col("s.is_total") == 1).alias("is_total"), F.col("s.key").alias("key"),
+    if group_by != "none":
+        booked = pairs.groupBy("key").agg(F.count("reservation_id").alias("bookings"))
+        groups = per_key.filter(F.trim("key") != "").join(booked, "key", "left")
+        rows = rows.unionByName(groups.withColumn("is_total", F.lit(False)))
+    return rows.select(
+        "is_total", "key",
         F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue_sum"),
         F.coalesce("sold", F.lit(0)).cast("bigint").alias("room_sold"),
         F.coalesce(F.col("revenue").cast("double") / F.nullif("rated", F.lit(0)), F.lit(0.0)).alias("arr_simple"),
         F.coalesce("bookings", F.lit(0)).cast("bigint").alias("bookings_count"),
-    )
-    keep = F.col("is_total") | ((F.trim("key") != "") if group_by != "none" else F.lit(False))
-    return rows.filter(keep).withColumn(
-        "period_days", (F.datediff(as_day(end), as_day(start)) + 1).cast("bigint")
+        (F.datediff(as_day(end), as_day(start)) + 1).cast("bigint").alias("period_days"),
     )
 
 
@@ -164,13 +159,13 @@ def overlap_nights_aggregate(df: DataFrame, start, end, group_by: str = "none",
         F.sum(F.col("room_rate") * F.col("n")).alias("revenue"), F.sum("n").alias("nights"),
         F.sum("room_rate").alias("rates"), F.count("room_rate").alias("rated"), F.count(F.lit(1)).alias("stays"),
     )
-    rows = sums.rollup("key").agg(
-        F.grouping("key").alias("t"), *[F.sum(c).alias(c) for c in ("revenue", "nights", "rates", "rated", "stays")]
+    rows = sums.agg(*[F.sum(c).alias(c) for c in ("revenue", "nights", "rates", "rated", "stays")]).select(
+        F.lit(True).alias("is_total"), F.lit(None).cast("string").alias("key"), "*"
     )
-    if group_by == "none":
-        rows = rows.filter(F.col("t") == 1)
+    if group_by != "none":
+        rows = rows.unionByName(sums.withColumn("is_total", F.lit(False)))
     return rows.select(
-        (F.col("t") == 1).alias("is_total"), "key",
+        "is_total", "key",
         F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue_sum"),
         F.coalesce("nights", F.lit(0)).cast("bigint").alias("occupied_room_nights"),
         F.coalesce(F.col("rates").cast("double") / F.nullif("rated", F.lit(0)), F.lit(0.0)).alias("arr_simple"),

@@ -89,7 +89,11 @@ def occupancy_report(
     per_key = _per_key(sales, pairs, nightly if by_type else None, days.cast("double"))
     if not by_type:
         per_key = per_key.withColumn("room_count", totals.select("room_count").scalar())
-    return _assemble(per_key, totals, top_n if group_by != "none" else None, include_other, by_type, corrected)
+    out = _assemble(per_key, totals, top_n if group_by != "none" else None, include_other, by_type, corrected)
+    if not corrected:
+        return out
+    booked = pairs.agg(F.countDistinct("reservation_id")).scalar()
+    return out.withColumn("bookings_count", F.when(F.col("is_total"), booked).otherwise(F.col("bookings_count")))
 
 
 def _nightly(sales: DataFrame, rooms: DataFrame, by_type: bool) -> DataFrame:
