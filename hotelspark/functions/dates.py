@@ -23,15 +23,6 @@ _STAMP = (
 _DAY = "^" + _DATE.replace("-/", "-/.") + r"(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?$"
 
 
-def _int(digits: Column) -> Column:
-    """Integer of a captured group; an empty one is null before the cast, as a failing try_cast is slow."""
-    return F.when(digits != "", digits.try_cast("int"))
-
-
-def _part(s: Column, pattern: str, group: int) -> Column:
-    return _int(F.regexp_extract(s, pattern, group))
-
-
 def _with_parts(s: Column, pattern: str, groups: int, build: Callable[[Column], Column]) -> Column:
     """``build`` applied to the captured groups as an array; null when the pattern does not match.
 
@@ -123,12 +114,11 @@ def parse_chat_timestamp(c: Column) -> Column:
 
 def clock_hhmm(c: Column) -> Column:
     """``HH:mm`` from ``H:mm``, ``HH:mm`` or four digits, else null."""
-    pattern = r"^(\d{1,2}):(\d{2})$"
-    digits = F.regexp_replace(c, r"[^0-9:]", "")
-    h = F.coalesce(_part(c, pattern, 1), _part(digits, r"^(\d{2})(\d{2})$", 1))
-    m = F.coalesce(_part(c, pattern, 2), _part(digits, r"^(\d{2})(\d{2})$", 2))
-    text = F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))
-    return F.when((h < 24) & (m < 60), text)
+    four = F.regexp_replace(c, r"[^0-9:]", "")
+    text = F.when(c.rlike(r"^\d{1,2}:\d{2}$"), F.lpad(c, 5, "0")).when(
+        four.rlike(r"^\d{4}$"), F.concat(F.substring(four, 1, 2), F.lit(":"), F.substring(four, 3, 2))
+    )
+    return F.when(text.rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"), text)
 
 
 def sane_birth_date(c: Column, this_year: int | None = None) -> Column:

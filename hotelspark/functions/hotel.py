@@ -84,31 +84,42 @@ def article_category(number: Column, outlet: Column) -> Column:
     return _first_match(rules, F.lit("Others"))
 
 
+def _by_prefix(digits: Column, rules: tuple[tuple[tuple[str, ...], str], ...], otherwise: str) -> Column:
+    """Label of the longest known prefix: one map lookup per prefix length, so the generated code stays small."""
+    lengths = sorted({len(p) for prefixes, _ in rules for p in prefixes}, reverse=True)
+    tables = [
+        F.create_map(*[F.lit(x) for prefixes, label in rules for p in prefixes if len(p) == n for x in (p, label)])
+        for n in lengths
+    ]
+    found = [F.try_element_at(t, F.substring(digits, 1, n)) for t, n in zip(tables, lengths)]
+    return F.coalesce(*found, F.lit(otherwise))
+
+
+def _by_range(number: Column, rules: tuple[tuple[int, int, str], ...], otherwise: str) -> Column:
+    """Label of the range a number falls in: a lookup of how many ranges start at or below it."""
+    starts = F.array(*[F.lit(lo) for lo, _, _ in rules])
+    ends = F.array(*[F.lit(hi) for _, hi, _ in rules])
+    labels = F.array(*[F.lit(label) for _, _, label in rules])
+    place = F.size(F.filter(starts, lambda lo: lo <= number))
+    inside = (place > 0) & (number <= F.get(ends, place - 1))
+    return F.when(inside, F.get(labels, place - 1)).otherwise(F.lit(otherwise))
+
+
 def article_subcategory(number: Column, outlet: Column) -> Column:
     outlet = F.trim(F.coalesce(outlet, F.lit("")))
     digits = number.cast("string")
-    between = lambda rows: [(number.between(lo, hi), F.lit(label)) for lo, hi, label in rows]
-    starts = lambda prefixes: F.substring(digits, 1, len(prefixes[0])).isin(*prefixes)
-
-    drinks = _first_match([(starts(ps), F.lit(label)) for ps, label in RESTAURANT_DRINKS], F.lit("Beverages"))
-    rest = _first_match(
-        [
-            (starts((p,)) & ~number.isin(*NOT_MERCHANDISE) if label == "Merchandise" else starts((p,)), F.lit(label))
-            for p, label in RESTAURANT_REST
-        ],
-        F.lit("Others"),
-    )
-    restaurant = _first_match(
-        between(RESTAURANT_FOOD) + [(number.between(1001, 2999), drinks), (number >= 3000, rest)], F.lit("Unknown")
+    rest = tuple(((p,), label) for p, label in RESTAURANT_REST)
+    from_3000 = F.when(number.isin(*NOT_MERCHANDISE), F.lit("Others")).otherwise(_by_prefix(digits, rest, "Others"))
+    restaurant = (
+        F.when(number < 1, F.lit("Unknown"))
+        .when(number <= 1000, _by_range(number, RESTAURANT_FOOD, "Unknown"))
+        .when(number <= 2999, _by_prefix(digits, RESTAURANT_DRINKS, "Beverages"))
+        .otherwise(from_3000)
     )
-    return _first_match(
-        [
-            (outlet == RESTAURANT, restaurant),
-            (outlet == ROOM_SERVICE, _first_match(between(ROOM_SERVICE_ITEMS), F.lit("Others"))),
-            (
-                outlet == BANQUET,
-                _first_match([(number == n, F.lit(label)) for n, label in BANQUET_ITEMS], F.lit("Other")),
-            ),
-        ],
-        F.lit("Unknown"),
+    banquet = F.try_element_at(F.create_map(*[F.lit(x) for n, label in BANQUET_ITEMS for x in (n, label)]), number.cast("int"))
+    return (
+        F.when(outlet == RESTAURANT, restaurant)
+        .when(outlet == ROOM_SERVICE, _by_range(number, ROOM_SERVICE_ITEMS, "Others"))
+        .when(outlet == BANQUET, F.coalesce(banquet, F.lit("Other")))
+        .otherwise(F.lit("Unknown"))
     )

@@ -11,21 +11,23 @@ from hotelspark.session import ensure_checkpoint_dir
 def component_max(edges: DataFrame, scope: list[str], src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(scope..., node, label): every node of an undirected graph with the largest node of its component.
 
-    Runs one action per round; the driver only sees whether the edge set still changes. Each round is an
-    aggregation to one row per node and an equi-join back to the edges, so a hub node is combined on the
-    map side and its edges may be split over tasks. Lineage is cut by reliable checkpoints.
+    Each star is an aggregation to one row per node and an equi-join back to the edges, so a hub node is
+    combined on the map side and its edges may be split over tasks. A round is one large star and one small star
+    in one job; the driver only sees whether the edge set still changes. Lineage is cut by reliable checkpoints.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     pairs = edges.filter(F.col(src) != F.col(dst)).select(
         *scope, F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")
     ).distinct().checkpoint()
+    seen = _fingerprint(pairs, scope)
     for _ in range(max_rounds):
+        # The large star keeps the number of edges, so duplicates are only removed after the small one.
         larger = _star(pairs, scope, both_ways=True)
-        smaller = _star(larger, scope, both_ways=False).checkpoint()
-        changed = not _same_rows(pairs, smaller, scope)
-        pairs = smaller
-        if not changed:
+        pairs = _star(larger, scope, both_ways=False).distinct().checkpoint()
+        now = _fingerprint(pairs, scope)
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError("components did not settle")
     labels = pairs.select(*scope, F.col("u").alias("node"), F.col("v").alias("label"))
@@ -50,12 +52,10 @@ def _star(pairs: DataFrame, scope: list[str], both_ways: bool) -> DataFrame:
     out = moved.select(*scope, F.col("v").alias("u"), F.col("top").alias("v"))
     if not both_ways:
         out = out.unionByName(top.select(*scope, "u", F.col("top").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
+    return out.filter(F.col("u") != F.col("v"))
 
 
-def _same_rows(a: DataFrame, b: DataFrame, scope: list[str]) -> bool:
-    """Whether two distinct edge sets are equal, from their size and an order-free fingerprint."""
-    def mark(df: DataFrame):
-        h = F.xxhash64(*scope, "u", "v")
-        return df.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first()
-    return tuple(mark(a)) == tuple(mark(b))
+def _fingerprint(pairs: DataFrame, scope: list[str]) -> tuple:
+    """Size and order-free hash of a set of edges; equal sets give equal values."""
+    h = F.xxhash64(*scope, "u", "v")
+    return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 from pathlib import Path
 
@@ -86,7 +87,8 @@ def test_stream_equals_batch_across_a_restart(spark, folder):
         upsert.stream_into_table(clean, table, checkpoint, available_now=True).awaitTermination()
 
     for i, batch in enumerate(CHATS[:2]):
-        write(folder / "in" / f"{i}.txt", "\n".join(batch))
+        # The file source goes by modification time.
+        os.utime(write(folder / "in" / f"{i}.txt", "\n".join(batch)), (1000 + i, 1000 + i))
     run()
     assert {r.id: r.message for r in upsert.read_latest(spark, table).collect()} == {1: "hello"}
     write(folder / "in" / "2.txt", "\n".join(CHATS[2]))
