@@ -35,6 +35,27 @@ def link_contacts(resv: DataFrame, prof: DataFrame, keep: tuple[str, ...] = ("gu
     return found.unionByName(lonely.select(*columns))
 
 
+def best_contact(resv: DataFrame, prof: DataFrame) -> DataFrame:
+    """One row per stay: the matching profile by mobile, else phone, else email, and the number of matches of each.
+
+    Profiles are first reduced to one row per contact value (lowest id, count), so the result grows with the stays
+    alone, also when very many guests share one number. Use this in bulk; :func:`link_contacts` lists every match.
+    """
+    def per_value(column: Column, name: str) -> DataFrame:
+        return prof.select(_present(column).alias("_k"), "id").dropna(subset=["_k"]).groupBy("_k").agg(
+            F.min("id").alias(f"_{name}"), F.count(F.lit(1)).alias(f"{name}_matches")
+        )
+
+    rules = {"mobile": (F.col("mobile_no"), "_m"), "phone": (F.col("phone"), "_m"), "email": (F.lower("email"), "_e")}
+    out = resv.withColumns({"_m": _present(F.col("mobile_phone")), "_e": _present(F.lower("email"))})
+    for name, (column, on) in rules.items():
+        out = out.join(per_value(column, name).withColumnRenamed("_k", on), on, "left")
+    return out.select(
+        *resv.columns, F.coalesce("_mobile", "_phone", "_email").alias("profile_id"),
+        *[F.coalesce(f"{n}_matches", F.lit(0)).alias(f"{n}_matches") for n in rules],
+    )
+
+
 def link_by_guest(resv: DataFrame, prof: DataFrame) -> DataFrame:
     """Fallback link: one profile per stay by guest_id, else by name; the lowest profile id counts."""
     by_id = prof.groupBy("guest_id").agg(F.min("id").alias("_by_id")).dropna(subset=["guest_id"])

@@ -204,6 +204,19 @@ def _(load):
     return contacts.link_contacts(load("fx_reservations"), load("fx_profiles")).select("id", "profile_id", "profile_mobile_no")
 
 
+@query("stays_with_best_contact", """
+, m AS (SELECT mobile_no AS k, min(id) AS p, count(*) AS n FROM fx_profiles WHERE mobile_no <> '' GROUP BY 1),
+t AS (SELECT phone AS k, min(id) AS p, count(*) AS n FROM fx_profiles WHERE phone <> '' GROUP BY 1),
+e AS (SELECT lower(email) AS k, min(id) AS p, count(*) AS n FROM fx_profiles WHERE email <> '' GROUP BY 1)
+SELECT r.id, COALESCE(m.p, t.p, e.p)::BIGINT AS profile_id, COALESCE(m.n, 0)::BIGINT AS mobile_matches, COALESCE(t.n, 0)::BIGINT AS phone_matches,
+  COALESCE(e.n, 0)::BIGINT AS email_matches FROM fx_reservations r LEFT JOIN m ON m.k = r.mobile_phone LEFT JOIN t ON t.k = r.mobile_phone
+  LEFT JOIN e ON e.k = lower(r.email)""", ("fx_reservations", "fx_profiles"))
+def _(load):
+    return contacts.best_contact(load("fx_reservations"), load("fx_profiles")).select(
+        "id", "profile_id", "mobile_matches", "phone_matches", "email_matches"
+    )
+
+
 @query("stays_linked_by_guest", """
 SELECT r.id, COALESCE((SELECT min(p.id) FROM fx_profiles p WHERE p.guest_id = r.guest_id),
   (SELECT min(p.id) FROM fx_profiles p WHERE p.name = r.guest_name))::BIGINT AS profile_id FROM fx_reservations r""", ("fx_reservations", "fx_profiles"))

@@ -28,6 +28,16 @@ def test_contacts_match_once_per_profile_and_never_on_blanks(spark):
     assert "Join Cross" not in plan and " || " not in plan
 
 
+def test_best_contact_stays_one_row_per_stay(spark):
+    resv = spark.createDataFrame([(i, "+1" if i % 3 else "+2", "x@y") for i in range(300)] + [(900, "", None)], "id int, mobile_phone string, email string")
+    prof = spark.createDataFrame([(i, "+1", "+2", "X@Y") for i in range(1, 301)], "id int, mobile_no string, phone string, email string")
+    rows = {r.id: r for r in contacts.best_contact(resv, prof).collect()}
+    assert len(rows) == 301
+    assert (rows[1].profile_id, rows[1].mobile_matches, rows[1].phone_matches, rows[1].email_matches) == (1, 300, 0, 300)
+    assert (rows[3].profile_id, rows[3].mobile_matches, rows[3].phone_matches) == (1, 0, 300)
+    assert (rows[900].profile_id, rows[900].email_matches) == (None, 0)
+
+
 def test_duplicate_groups_are_rows_not_pairs(spark):
     df = spark.createDataFrame([(i, f"Ann X{i}", "1990-01-01") for i in range(500)] + [(900, "Ann", "1991-01-01")], "id int, name string, birth_date string")
     assert [tuple(r) for r in contacts.duplicate_groups(df).collect()] == [("1990-01-01", "ANN", 500, 0, 499)]
