@@ -164,8 +164,8 @@ _RESTO_ROWS = """
   CAST(NULL AS BIGINT) AS table_number, NULL::VARCHAR AS posting_id, NULL::VARCHAR AS reservation_number, NULL::VARCHAR AS travel_agent_name,
   CASE WHEN bill_number % 2 = 0 THEN CAST(bill_number AS VARCHAR) END AS prev_bill_number, NULL::DATE AS transaction_date,
   NULL::VARCHAR AS start_time, NULL::VARCHAR AS close_time, NULL::VARCHAR AS time, 0.0::DOUBLE AS bill_discount, 0.0::DOUBLE AS bill_compliment,
-  0.0::DOUBLE AS total_deduction, line_no AS version, transaction_date AS ingested_at,
-  CASE WHEN line_no % 4 = 0 THEN transaction_date END AS deleted_at FROM fx_bills)"""
+  0.0::DOUBLE AS total_deduction, line_no AS version, DATE '2024-01-01' + CAST(line_no % 100 AS INT) AS ingested_at,
+  CASE WHEN line_no % 4 = 0 THEN DATE '2024-06-01' + CAST(line_no % 50 AS INT) END AS deleted_at FROM fx_bills)"""
 
 
 @query("mart_resto", _RESTO_ROWS + mart_sql(
@@ -173,6 +173,8 @@ _RESTO_ROWS = """
 def _(load):
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
     n, bill = F.col("line_no"), F.col("bill_number").cast("string")
+    # Two lines may share their number at the smallest scale, so every value follows from the number.
+    day = lambda base, c: F.date_add(F.lit(base).cast("date"), c.cast("int"))
     df = load("fx_bills").select(
         n.alias("id"), (n % 3).cast("int").alias("csv_upload_id"), bill.alias("bill_number"),
         (F.col("article_number") % 5).cast("string").alias("article_number"), none.alias("guest_name"), F.col("outlet").alias("item_name"),
@@ -182,7 +184,7 @@ def _(load):
         F.when(F.col("bill_number") % 2 == 0, bill).alias("prev_bill_number"), F.lit(None).cast("date").alias("transaction_date"),
         none.alias("start_time"), none.alias("close_time"), none.alias("time"),
         *[F.lit(0.0).alias(c) for c in ("bill_discount", "bill_compliment", "total_deduction")], n.alias("version"),
-        F.col("transaction_date").alias("ingested_at"), F.when(n % 4 == 0, F.col("transaction_date")).alias("deleted_at"),
+        day("2024-01-01", n % 100).alias("ingested_at"), F.when(n % 4 == 0, day("2024-06-01", n % 50)).alias("deleted_at"),
     )
     return mart.mart_resto(df)
 
@@ -386,7 +388,9 @@ merged AS (SELECT l.* EXCLUDE (bill_number), COALESCE(x.label, l.bill_number) AS
 
 _GROUPED = """
 , grouped AS (SELECT outlet, bill_number, article_number, sum(quantity)::BIGINT AS quantity, sum(sales) AS sales, sum(payment) AS payment,
-  arg_min(description, line_no) AS description, arg_min(prev_bill_number, line_no) AS prev_bill_number, arg_max(transaction_date, line_no) AS transaction_date
+  arg_min(description, lpad(line_no::VARCHAR, 25, '0') || description) AS description,
+  arg_min(prev_bill_number, lpad(line_no::VARCHAR, 25, '0') || lpad(prev_bill_number::VARCHAR, 20, '0')) AS prev_bill_number,
+  arg_max(transaction_date, lpad(line_no::VARCHAR, 25, '0') || transaction_date::VARCHAR) AS transaction_date
   FROM merged GROUP BY outlet, bill_number, article_number),
 deducted AS (SELECT outlet, bill_number, COALESCE(sum(sales) FILTER (WHERE CAST(article_number AS VARCHAR) LIKE '891%'), 0) AS bill_discount,
   COALESCE(sum(payment) FILTER (WHERE article_number BETWEEN 9801 AND 9899), 0) AS bill_compliment FROM grouped
