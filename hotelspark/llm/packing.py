@@ -29,6 +29,9 @@ GROUP = 50_000
 #: Words whose ids a task keeps; the table is emptied when full.
 KEPT_WORDS = 600_000
 
+#: Share of a group's ids that is placed last, by best fit: no piece follows that would need the gaps left open.
+CLOSING = 0.1
+
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -118,23 +121,30 @@ def pieces(docs: DataFrame, length: int = LENGTH, ranks_path: str | None = None)
     return rows.mapInArrow(cut, "doc_id long, k0 long, k1 long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
+def sum_of_squares(sizes: list[int], capacity: int, closing: float = CLOSING) -> tuple[list[int], list[int]]:
     """(bin, place in it) of each size, taken in the given order.
 
     ``open_at[g]`` counts open bins with gap g. A size s in a gap g changes the sum of squares by
     2 (open_at[g - s] - open_at[g]) + 2; in a new bin by 2 open_at[capacity - s] + 1; closing a bin by 1 - 2 open_at[s].
-    The least change wins, and of equal ones the smallest gap.
+    The least change wins, and of equal ones the smallest gap. The last ``closing`` share of the total goes into the
+    smallest gap that holds it.
     """
+    squares_end, done = (1 - closing) * sum(sizes), 0
     open_at = np.zeros(capacity + 1, dtype=np.int64)
     waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
     fill: list[int] = []
     bins, places = [], []
     for s in sizes:
-        change = 2 * (open_at[: capacity + 1 - s] - open_at[s:]) + 2
-        change[0] = 1 - 2 * open_at[s]
-        change[open_at[s:] == 0] = np.iinfo(np.int64).max
-        change[-1] = 2 * open_at[capacity - s] + 1 if s < capacity else 0
-        gap = s + int(np.argmin(change))
+        if done < squares_end:
+            change = 2 * (open_at[: capacity + 1 - s] - open_at[s:]) + 2
+            change[0] = 1 - 2 * open_at[s]
+            change[open_at[s:] == 0] = np.iinfo(np.int64).max
+            change[-1] = 2 * open_at[capacity - s] + 1 if s < capacity else 0
+            gap = s + int(np.argmin(change))
+        else:
+            held = open_at[s:capacity] > 0
+            gap = s + int(np.argmax(held)) if held.any() else capacity
+        done += s
         if gap == capacity:
             bins.append(len(fill))
             places.append(0)

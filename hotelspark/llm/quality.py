@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FEATURES = ("log_words", "log_word_length", "symbols", "upper", "digits", "stops", "lines", "other_space", "distinct_words", "entropy")
-POOLED = 0.2
+FEATURES = ("log_word_length", "symbols", "upper", "stops", "distinct_words", "entropy")
+POOLED = 0.6
 SPHERE = 0.02
 ACCEPT = 0.3
 
@@ -30,21 +30,24 @@ _SYMBOL = (_BYTES < 128) & ~(_UPPER | _LOWER | _DIGIT | _SPACE | _STOP)
 
 
 def statistics(text: bytes | None) -> np.ndarray:
-    """The transformed statistics of one whole text: logs of counts and log-odds of shares. Null counts as empty."""
+    """The transformed statistics of one whole text: logs of counts and angles of shares. Null counts as empty.
+
+    An angle is the arc sine of a share's root: its spread hardly depends on the share, and a share of zero is zero in
+    short texts as in long ones.
+    """
     text = text or b""
     counts = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
     words = text.split()
     total, spaces = len(text), counts[_SPACE].sum()
     inked = total - spaces
 
-    def odds(part: float, whole: float) -> float:
-        return float(np.log((part + 0.5) / (whole - part + 0.5)))
+    def angle(part: float, whole: float) -> float:
+        return float(np.arcsin(np.sqrt(part / whole))) if whole else 0.0
 
     shares = counts[counts > 0] / max(total, 1)
     return np.array([
-        np.log1p(len(words)), np.log1p(inked / max(len(words), 1)), odds(counts[_SYMBOL].sum(), inked), odds(counts[_UPPER].sum(), inked),
-        odds(counts[_DIGIT].sum(), inked), odds(counts[_STOP].sum(), inked), odds(counts[10], total), odds(spaces - counts[10] - counts[32], total),
-        odds(len(set(words)), len(words)), float(-(shares * np.log(shares)).sum()),
+        np.log1p(inked / max(len(words), 1)), angle(counts[_SYMBOL].sum(), inked), angle(counts[_UPPER].sum(), inked),
+        angle(counts[_STOP].sum(), inked), angle(len(set(words)), len(words)), float(-(shares * np.log(shares)).sum()),
     ])
 
 
