@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotelspark.llm import language, mixing, packing, quality, sharding, simhash, suffixes
+from hotelspark.llm import ann, caps, language, mixing, packing, quality, sharding, simhash, substrings, suffixes
 from hotelspark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -29,6 +33,10 @@ def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("k0", "k1")
 
 
+def op6_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_columnwise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.measure_repeats(table(spark, sf_dir, "documents"))
 
@@ -40,12 +48,16 @@ def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", quality.held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.with_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_prefix_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_virtual_slots, op3_quadratic_discriminant, op4_byte_position_simhash, op5_sum_of_squares_packing,
-    op7_columnwise_suffixes, op8_hyperdimensional_language, op10_prefix_sum_mixing)}
+    op1_virtual_slots, op2_learned_partitions, op3_quadratic_discriminant, op4_byte_position_simhash, op5_sum_of_squares_packing,
+    op6_spherical_caps, op7_columnwise_suffixes, op8_hyperdimensional_language, op9_fixed_block_anchors, op10_prefix_sum_mixing)}
 
 ORACLES: dict[str, str] = {}

@@ -38,15 +38,20 @@ AROUND = 256
 #: Strings of a collection, cores kept whole.
 COLLECTION = 512
 #: Bytes of texts whose anchors are sought at once.
-BUFFER = 2 << 20
+BUFFER = 1 << 20
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _SPAN = "array<struct<a:int,b:int>>"
 
 
-@lru_cache(maxsize=8)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
+    """Powers of an odd base modulo 2^64 and of its inverse; only those for usual buffers are kept."""
+    room = max(1 << (size - 1).bit_length(), 1 << 16)
+    return (_kept_powers if room <= 2 * BUFFER else _kept_powers.__wrapped__)(base, room)
+
+
+@lru_cache(maxsize=8)
+def _kept_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     out = []
     for b in (base, inverse):
@@ -57,22 +62,29 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 class Hashes:
     """Hashes of any stretch of a buffer from prefix sums."""
 
     def __init__(self, buffer: np.ndarray, base: int):
-        size = 1 << max(int(len(buffer)).bit_length(), 16)
-        powers, self.inverse = _powers(base, size)
+        powers, self.inverse = _powers(base, len(buffer) + 1)
         self.sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
         np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers[: len(buffer)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[stop] - self.sums[start]) * self.inverse[start])
 
+    def rolling(self, size: int) -> np.ndarray:
+        """Hashes of all stretches of one size."""
+        sums = self.sums[size:] - self.sums[: len(self.sums) - size]
+        sums *= self.inverse[: len(sums)]
+        return _mixed(sums)
+
 
 def anchored_runs(texts: list[bytes], length: int, width: int) -> tuple[np.ndarray, ...]:
     """(text, anchor hash, run hash, first start, last start - first start, anchor - first start) of the runs of
@@ -86,17 +98,17 @@ def anchored_runs(texts: list[bytes], length: int, width: int) -> tuple[np.ndarr
     if not counts.any():
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
     hashes = Hashes(buffer, _BASES[0])
-    grams = hashes.of(np.arange(len(buffer) - gram + 1), np.arange(gram, len(buffer) + 1))
-    low = np.uint64((1 << max(int(len(buffer)).bit_length(), 1)) - 1)
-    order = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    padded = np.full(-(-len(order) // width) * width + width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(order)] = order
+    grams = hashes.rolling(gram)
+    low = np.uint64((1 << len(buffer).bit_length()) - 1)
+    padded = np.full(-(-len(grams) // width) * width + width, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.bitwise_or(grams & ~low, np.arange(len(grams), dtype=np.uint64), out=padded[: len(grams)])
     blocks = padded.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     behind = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    least = np.minimum(ahead[: len(buffer) - length + 1], behind[width - 1 : len(buffer) - length + width])
     text = np.repeat(np.arange(len(texts)), counts)
-    window = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + starts[text]
-    place = (np.minimum(ahead[window], behind[window + width - 1]) & low).astype(np.int64)
+    window = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
+    place = (least[window] & low).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.append(first[1:], len(place)) - 1
     s0, s1, at, text = window[first], window[last], place[first], text[first]
@@ -281,23 +293,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, widths: tuple[int, ...] = WID
     anchors = _anchors(docs, length, widths[0])
     often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     places = settled(anchors.join(often, "anchor"))
-    runs = places.groupBy("anchor", "run").agg(
-        F.count(F.lit(1)).alias("number"), F.min(F.struct("k0", "k1", "at", "more", "lead")).alias("one")).select("anchor", "run", "number", "one.*")
-    parts = settled(_cut(docs, runs, length, widths[1]))
-    found = None
+    runs = settled(places.groupBy("anchor", "run").agg(
+        F.count(F.lit(1)).alias("number"), F.min(F.struct("k0", "k1", "at", "more", "lead")).alias("one")).select("anchor", "run", "number", "one.*"))
+    kinds = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    runs = runs.join(kinds, "anchor")
+    # Alone at its anchor, a run repeats whole: no window of another run can equal one of it.
+    found = runs.filter("kinds = 1").select("anchor", "run", F.array(F.struct(F.lit(0).alias("a"), F.col("more").alias("b"))).alias("found"))
+    parts = settled(_cut(docs, runs.filter("kinds > 1"), length, widths[1]))
     for width, narrow in zip(widths[1:], [*widths[2:], 0], strict=True):
-        strings = parts.groupBy("g0", "g1", "left", "right").agg(F.sum("number").alias("number"))
-        rest = None
-        if narrow:
-            strings = settled(strings)
-            crowded = strings.groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("number"))
-            # A core that stands once has no repeat around it.
-            strings = strings.join(crowded.filter(f"n <= {AROUND} AND number > 1").select("g0", "g1"), ["g0", "g1"])
-            rest = settled(parts.join(crowded.filter(f"n > {AROUND}").select("g0", "g1"), ["g0", "g1"]).select(*parts.columns))
-        here = parts.join(_repeated(strings, width), ["g0", "g1", "left", "right"]).select(
+        strings = settled(parts.groupBy("g0", "g1", "left", "right").agg(F.sum("number").alias("number")))
+        cores = strings.groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("kinds"), F.sum("number").alias("of_core"))
+        strings = strings.join(cores.filter("of_core > 1"), ["g0", "g1"])
+        whole = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("left") + F.octet_length("right") + 1 - width).alias("b")))
+        again = strings.filter("kinds = 1").select("g0", "g1", "left", "right", whole.alias("found")).unionByName(
+            _repeated(strings.filter(f"kinds > 1 AND kinds <= {AROUND}"), width))
+        here = parts.join(again, ["g0", "g1", "left", "right"]).select(
             "anchor", "run", F.expr("transform(found, x -> struct(x.a + off as a, x.b + off as b))").alias("found"))
-        found = here if found is None else found.unionByName(here)
-        if rest is None or rest.isEmpty():
+        found = found.unionByName(here)
+        rest = settled(parts.join(cores.filter(f"kinds > {AROUND}").select("g0", "g1"), ["g0", "g1"]).select(*parts.columns))
+        if not narrow or rest.isEmpty():
             break
         parts = settled(_cut_again(rest, width, narrow))
     of_run = found.groupBy("anchor", "run").agg(F.flatten(F.collect_list("found")).alias("found"))
