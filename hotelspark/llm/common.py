@@ -56,6 +56,15 @@ def row_key(text: str = "text") -> list[Column]:
             F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col("doc_id").isNull()).alias("k1")]
 
 
+def carried(docs: DataFrame, *own: str) -> tuple[Column, list[Column]]:
+    """A struct ``carried`` of all columns but ``own``, and the expressions that put the table together again, so that
+    helper columns cannot clash with any column of the table."""
+    filler = "_" * (1 + max(map(len, docs.columns)))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    back = [F.col(c) if c in own else F.col("carried").getField(c).alias(c) for c in docs.columns]
+    return F.struct(F.lit(True).alias(filler), *rest).alias("carried"), back
+
+
 def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
     """Regroup batches sorted by ``keys`` so that no run of equal keys is split over two tables."""
     held: list[pa.RecordBatch] = []

@@ -123,8 +123,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score``, the cosine with that prototype (0 if negative).
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned. Ties go to the first
-    language in code-point order.
+    language in code-point order. Columns that already have these names are replaced.
     """
+    docs = docs.drop("lang_pred", "score")
     names = sorted(prototypes)
     stacked = np.stack([prototypes[n] for n in names]).T if names else None
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hotelspark.llm.common import WORD, row_key, settled, tasks_for
+from hotelspark.llm.common import WORD, carried, row_key, settled, tasks_for
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -109,13 +109,11 @@ def mixed_documents(docs: DataFrame, mix: DataFrame) -> DataFrame:
 
     Documents without words are not taken. Repeated rows take the same number of words each.
     """
-    columns = docs.columns
-    plan = mix.filter("taken > 0").groupBy("k0", "k1").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    key = [c.alias(f"_{n}") for c, n in zip(row_key(), ("k0", "k1"), strict=True)]
-    rows = docs.select("*", *key).join(plan, (F.col("_k0") == F.col("k0")) & (F.col("_k1") == F.col("k1")))
-    rows = rows.withColumn("_take", F.explode(F.expr(
-        "transform(sequence(1, cast(ceil(_taken / _size) as int)), i -> if(i * _size <= _taken, _size, _taken % _size))")))
-    cut = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("_take").cast("int"))
-    text = F.when(F.col("_take") == F.col("_size"), F.col("text")).otherwise(F.concat(cut, F.array_join(words, " ")))
-    return rows.withColumn("text", text).select(*columns)
+    rest, back = carried(docs, "text")
+    plan = mix.filter("taken > 0").groupBy("k0", "k1").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    rows = docs.select(rest, "text", *row_key()).join(plan, ["k0", "k1"])
+    rows = rows.withColumn("take", F.explode(F.expr(
+        "transform(sequence(1, cast(ceil(taken / size) as int)), i -> if(i * size <= taken, size, taken % size))")))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("take").cast("int"))
+    text = F.when(F.col("take") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))
+    return rows.withColumn("text", text).select(*back)

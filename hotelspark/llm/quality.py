@@ -130,20 +130,34 @@ def held_out(folds: int, held: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held
 
 
+def _scores(batch: pa.RecordBatch, model: Discriminant) -> np.ndarray:
+    texts = batch.column("text").cast(pa.binary())
+    return model.score(np.stack([statistics(x.as_py()) for x in texts])) if batch.num_rows else np.zeros(0)
+
+
 def score_documents(docs: DataFrame, model: Discriminant, accept: float = ACCEPT) -> DataFrame:
     """All columns of ``docs`` with ``score`` (class 1 likelier when higher) and ``predicted`` (1 if at least ``accept``).
 
-    Whole texts are measured; null and empty texts get the score of an empty text.
+    Whole texts are measured; null and empty texts get the score of an empty text. Columns that already have these
+    names are replaced.
     """
+    docs = docs.drop("score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column("text").cast(pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary())
-            score = model.score(np.stack([statistics(x.as_py()) for x in texts]))
+            score = _scores(batch, model)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score), pa.array((score >= accept).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(judge, schema)
+
+
+def accepted(docs: DataFrame, model: Discriminant, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``accept``, all columns as they are."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, model) >= accept))
+
+    return docs.mapInArrow(choose, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hotelspark.llm.common import component_min, row_key, run_starts, settled, tasks_for, whole_runs
+from hotelspark.llm.common import carried, component_min, row_key, run_starts, settled, tasks_for, whole_runs
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -211,9 +211,8 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
 
     A null id stands behind all others. If one id has several texts in a group, the text with the least hash stays.
     """
-    key = [c.alias(f"_{n}") for c, n in zip(row_key(), ("k0", "k1"), strict=True)]
-    found = near_duplicates(docs.select(F.struct("doc_id", *row_key()).alias("doc_id"), "text").select(
-        F.struct(F.col("doc_id.doc_id").isNull().alias("none"), "doc_id.k0", "doc_id.k1").alias("doc_id"), "text"))
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id.k0").alias("_k0"), F.col("doc_id.k1").alias("_k1")).distinct()
-    unique = docs.select("*", *key).dropDuplicates(["_k0", "_k1"])
-    return unique.join(kept, ["_k0", "_k1"], "left_semi").select(*docs.columns)
+    found = near_duplicates(docs.select(F.struct(F.col("doc_id").isNull().alias("none"), *row_key()).alias("doc_id"), "text"), shingle, most)
+    kept = found.filter("doc_id = component_id").select("doc_id.k0", "doc_id.k1").distinct()
+    rest, back = carried(docs)
+    unique = docs.select(rest, *row_key()).dropDuplicates(["k0", "k1"])
+    return unique.join(kept, ["k0", "k1"], "left_semi").select(*back)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hotelspark.llm.common import row_key, run_starts, settled, tasks_for, whole_runs
+from hotelspark.llm.common import carried, row_key, run_starts, settled, tasks_for, whole_runs
 
 LENGTH = 400
 #: Widths of runs: of an anchor at first, then of the collections, each a divisor of the one before.
@@ -331,20 +331,21 @@ def spans(starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_repeats(docs: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
-    key = [c.alias(f"_{n}") for c, n in zip(row_key(), ("k0", "k1"), strict=True)]
-    found = repeats(docs, length, widths).select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), F.col("found").alias("_found"))
-    return docs.select("*", *key).join(found, ["_k0", "_k1"], "left").drop("_k0", "_k1")
+def _with_repeats(docs: DataFrame, length: int, widths: tuple[int, ...]) -> tuple[DataFrame, list]:
+    """(carried, text, found): every row with its repeats, and the expressions of the original columns."""
+    rest, back = carried(docs, "text")
+    rows = docs.select(rest, "text", *row_key()).join(repeats(docs, length, widths), ["k0", "k1"], "left")
+    return rows.select("carried", "text", "found"), back
 
 
 def measure_repeats(docs: DataFrame, length: int = LENGTH, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document after its repeated bytes are removed."""
-    rows = _with_repeats(docs.select("doc_id", "text"), length, widths)
+    rows = _with_repeats(docs.select("doc_id", "text"), length, widths)[0].select("carried.doc_id", "text", "found")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, starts in zip(*(batch.column(c) for c in ("doc_id", "text", "_found")), strict=True):
+            for doc, text, starts in zip(*(batch.column(c) for c in ("doc_id", "text", "found")), strict=True):
                 text = (text.as_py() or "").encode()
                 gone, kept, end = spans(starts.as_py(), length), hashlib.sha256(), 0
                 for a, b in gone:
@@ -359,14 +360,13 @@ def measure_repeats(docs: DataFrame, length: int = LENGTH, widths: tuple[int, ..
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """``docs`` with every character removed whose bytes all stand in a repeat; characters cut by an end of one stay."""
-    columns = docs.columns
-    rows = _with_repeats(docs, length, widths)
-    schema = T.StructType(docs.schema.fields)
+    rows, back = _with_repeats(docs, length, widths)
+    schema = T.StructType(rows.schema.fields[:2])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, starts in zip(batch.column("text"), batch.column("_found"), strict=True):
+            for text, starts in zip(batch.column("text"), batch.column("found"), strict=True):
                 text = text.as_py()
                 gone = spans(starts.as_py(), length)
                 if gone:
@@ -380,7 +380,6 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, widths: tuple[int, ...]
                         end = b
                     text = b"".join([*kept, octets[end:]]).decode()
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(texts, pa.string())], names=["carried", "text"])
 
-    return rows.select(*columns, "_found").mapInArrow(strip, schema)
+    return rows.mapInArrow(strip, schema).select(*back)
