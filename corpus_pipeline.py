@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hotelspark.llm import mixing, packing, quality, simhash, suffixes
 from hotelspark.llm.common import shared_folder, table
@@ -18,7 +17,7 @@ from hotelspark.llm.common import shared_folder, table
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier rejects. It learns from the labelled rows outside its held-out fold."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).filter("predicted = 1").drop("score", "predicted")
+    return quality.accepted(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
