@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hotelspark.functions.text import is_blank, fill_blank
-
 MONEY = "decimal(18,2)"
 
+# One whole decimal number, with digits before or after the point.
+_NUMBER = r"^-?(?:\d+\.?\d*|\.\d+)$"
+
+
+def _exact(text: Column) -> Column:
+    """The number that a text is, exactly; null if it is none, without trying a cast that fails."""
+    return F.nullif(F.regexp_extract(text, _NUMBER, 0), F.lit("")).try_cast("decimal(38,6)")
 
-def _filled(c: Column) -> Column:
-    """Null for empty text and lone signs: they cannot be numbers, and a failing try_cast is slow."""
-    return F.when(~c.isin("", "-", ".", "-."), c)
+
+def _amount(c: Column, bracketed: str) -> Column:
+    """Amount of the digits, points and minus signs in a text, negative where the text matches ``bracketed``."""
+    value = _exact(F.regexp_replace(c, r"[^\d.\-]", ""))
+    return F.when(c.rlike(bracketed), -value).otherwise(value).try_cast(MONEY)
 
 
 def money(c: Column) -> Column:
-    """Decimal amount: commas and symbols dropped, ``(x)`` negative, null when nothing is left.
+    """Decimal amount: commas and symbols do not count, brackets around all digits make it negative.
 
-    Numeric columns are cast directly, so large floats never pass through exponent notation.
+    Numeric columns have :func:`money_number`, so large floats never pass through exponent notation.
     """
-    s = F.regexp_replace(F.trim(c.cast("string")), r"[^\d.\-()]", "")
-    sign = F.when(s.rlike(r"^\(.*\)$"), F.lit(-1)).otherwise(F.lit(1))
-    amount = _filled(F.regexp_replace(s, "[()]", "")).try_cast("decimal(18,6)")
-    return (amount * sign).try_cast(MONEY)
+    return _amount(c.cast("string"), r"^[^\d.\-()]*\(.*\)[^\d.\-()]*$")
 
 
 def money_number(c: Column) -> Column:
@@ -33,22 +37,18 @@ def money_number(c: Column) -> Column:
 
 def whole_number(c: Column) -> Column:
     """Integer part of a number or numeric text, null when it is neither."""
-    return _filled(F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)(?:\.\d*)?\s*$", 1)).try_cast("int")
+    return F.nullif(F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)(?:\.\d*)?\s*$", 1), F.lit("")).try_cast("int")
 
 
 def export_int(c: Column) -> Column:
-    """Integer of a report cell: spaces and symbols dropped, a lone comma is a decimal point."""
-    s = F.regexp_replace(F.trim(c), " ", "")
-    s = F.when(s.contains(",") & ~s.contains("."), F.regexp_replace(s, ",", ".")).otherwise(s)
-    return _filled(F.regexp_replace(s, r"[^\d.\-]+", "")).try_cast("double").try_cast("int")
+    """Integer part of a report cell: symbols do not count, and a comma is the point of a cell that has none."""
+    point = F.when(c.contains("."), F.lit("")).otherwise(F.lit("."))
+    return _exact(F.regexp_replace(F.replace(c, F.lit(","), point), r"[^\d.\-]", "")).try_cast("int")
 
 
 def export_amount(c: Column) -> Column:
-    """Amount of a report cell: ``(x)`` negative only when the brackets enclose the whole cell."""
-    s = F.trim(c)
-    negative = s.startswith("(") & s.endswith(")")
-    body = _filled(F.regexp_replace(s, r"[^\d.\-]+", "")).try_cast("decimal(18,6)")
-    return F.when(negative, -body).otherwise(body).try_cast(MONEY)
+    """Amount of a report cell: negative only when brackets enclose the whole cell."""
+    return _amount(c, r"^\s*\(.*\)\s*$")
 
 
 def cents(c: Column) -> Column:
@@ -56,26 +56,24 @@ def cents(c: Column) -> Column:
     return F.bround(c.cast("decimal(20,4)") * 100, 0).cast("bigint")
 
 
+def _digits(c: Column) -> Column:
+    return F.regexp_replace(c.cast("string"), r"\D", "")
+
+
 def stay_phone(c: Column) -> Column:
-    """Digits with at most a leading ``+``; ``62...`` gains its plus; blank becomes null."""
-    s = F.regexp_replace(F.regexp_replace(fill_blank(c).cast("string"), r"[^0-9+]", ""), r"(?<!^)\+", "")
-    s = F.when(~is_blank(s), s)
-    return F.when(s.rlike(r"^62[0-9]+$"), F.concat(F.lit("+"), s)).otherwise(s)
+    """The digits, after a plus where one leads them or the country code 62 does; null without digits."""
+    digits = F.nullif(_digits(c), F.lit(""))
+    plus = c.cast("string").rlike(r"^[^\d+]*\+") | digits.rlike("^62.")
+    return F.concat(F.when(plus, F.lit("+")).otherwise(F.lit("")), digits)
 
 
 def profile_phone(c: Column) -> Column:
     """``0x`` and ``8x`` become ``+62...``; everything else, and a lone zero, becomes empty."""
-    s = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\D", "")
-    return (
-        F.when(s == "0", F.lit(""))
-        .when(s.startswith("0"), F.concat(F.lit("+62"), F.substring(s, 2, 100000)))
-        .when(s.startswith("8"), F.concat(F.lit("+62"), s))
-        .otherwise(F.lit(""))
-    )
+    local = F.regexp_extract(F.coalesce(_digits(c), F.lit("")), r"^(?:0(.+)|(8.*))$", 0)
+    return F.when(local == "", F.lit("")).otherwise(F.concat(F.lit("+62"), F.regexp_replace(local, "^0", "")))
 
 
 def chat_phone(c: Column) -> Column:
     """Separators dropped and one leading zero removed; null when it is not a number."""
-    s = F.regexp_replace(c, r"[\s\-()]", "")
-    short = F.when(s.startswith("0") & (s != "0"), F.substring(s, 2, 100)).otherwise(s)
-    return F.when(s.rlike(r"^\+?\d+$"), short)
+    number = F.regexp_extract(F.regexp_replace(c, r"[\s\-()]", ""), r"^\+?\d+$", 0)
+    return F.nullif(F.regexp_replace(number, r"^0(?=.)", ""), F.lit(""))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hotelspark.functions.hotel import OUTLETS, article_category, article_subcategory
 from hotelspark.functions.numbers import cents
 from hotelspark.operators.components import component_max
+from hotelspark.operators.contacts import upload_columns
 
 # Fixed value: how a bill line names the bill it was moved to or from.
 TRANSFER = r"(?:To|From)\s+Table\s+\d+\s*\*(\d+)"
@@ -29,13 +30,18 @@ def bill_transfers(df: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
-def merge_transferred_bills(df: DataFrame, scope: tuple[str, ...] = ("outlet",)) -> DataFrame:
-    """Rename every bill to the highest number among the bills it was transferred with, per outlet.
+def bill_scope(df: DataFrame) -> list[str]:
+    """Where a bill number means one bill: an upload, since numbers restart, and an outlet."""
+    return [*upload_columns(df), "outlet"]
+
+
+def merge_transferred_bills(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Rename every bill to the highest number among the bills it was transferred with, per upload and outlet.
 
     The number before is kept as ``prev_bill_number``. Only bills with transfers take part in the component
     search; the rename is a left join that AQE may broadcast or split where one bill dominates.
     """
-    scope = list(scope)
+    scope = scope or bill_scope(df)
     df = df.withColumn("bill_number", F.coalesce("bill_number", F.lit(0)).cast("bigint"))
     labels = component_max(bill_transfers(df, scope), scope).withColumnsRenamed(
         {"node": "bill_number", "label": "_merged"}
@@ -59,10 +65,10 @@ FIRST = ("description", "posting_id", "start_time", "guest_name", "travel_agent_
 LAST = ("transaction_date", "table_number", "close_time")
 
 
-def group_bill_lines(df: DataFrame, line: str = "line_no") -> DataFrame:
-    """One row per outlet, bill and article: sums of quantity, sales and payment, first/last details in file order."""
+def group_bill_lines(df: DataFrame, line: str = "line_no", scope: list[str] | None = None) -> DataFrame:
+    """One row per upload, outlet, bill and article: sums of quantity, sales and payment, first/last details in file order."""
     have = set(df.columns)
-    return df.groupBy("outlet", "bill_number", "article_number").agg(
+    return df.groupBy(*(scope or bill_scope(df)), "bill_number", "article_number").agg(
         *[F.sum(c).alias(c) for c in ("quantity", "sales", "payment")],
         *[_in_file_order(c, line, True) for c in FIRST if c in have],
         *[_in_file_order(c, line, False) for c in LAST if c in have],
@@ -78,7 +84,7 @@ def is_compliment(article: Column) -> Column:
     return article.between(*COMPLIMENT_RANGE)
 
 
-def fold_deductions(df: DataFrame) -> DataFrame:
+def fold_deductions(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Per bill: discount = sales of discount articles, compliment = payment of compliment articles, and their sum.
 
     Both are attached to every remaining line of the bill; the deduction lines themselves and lines without
@@ -86,21 +92,22 @@ def fold_deductions(df: DataFrame) -> DataFrame:
     """
     article = F.col("article_number")
     deductions = df.filter(is_discount(article) | is_compliment(article))
-    totals = deductions.groupBy("outlet", "bill_number").agg(
+    scope = scope or bill_scope(df)
+    totals = deductions.groupBy(*scope, "bill_number").agg(
         F.sum(F.when(is_discount(article), F.col("sales"))).alias("bill_discount"),
         F.sum(F.when(is_compliment(article), F.col("payment"))).alias("bill_compliment"),
     )
     lines = df.filter(~(is_discount(article) | is_compliment(article)))
     zero = F.lit(0).cast("decimal(38,2)")
     empty = (F.col("quantity") == 0) & (F.col("sales") == 0) & (F.col("payment") == 0)
-    return attach_bill_totals(lines, totals).withColumns({
+    return attach_bill_totals(lines, totals, scope).withColumns({
         "bill_discount": F.coalesce("bill_discount", zero), "bill_compliment": F.coalesce("bill_compliment", zero),
     }).withColumn("total_deduction", F.col("bill_discount") + F.col("bill_compliment")).filter(~empty)
 
 
-def attach_bill_totals(lines: DataFrame, totals: DataFrame) -> DataFrame:
+def attach_bill_totals(lines: DataFrame, totals: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Per-bill totals on each line of the bill, null where the bill has none."""
-    return lines.join(totals, ["outlet", "bill_number"], "left")
+    return lines.join(totals, [*(scope or bill_scope(lines)), "bill_number"], "left")
 
 
 def classify_articles(df: DataFrame) -> DataFrame:
@@ -110,10 +117,15 @@ def classify_articles(df: DataFrame) -> DataFrame:
     })
 
 
-def consolidate_bills(df: DataFrame, line: str = "line_no") -> DataFrame:
-    """Lines of the three outlets -> merged bills, one row per article, with deductions and article classes."""
+def consolidate_bills(df: DataFrame, line: str = "line_no", scope: list[str] | None = None) -> DataFrame:
+    """Lines of the three outlets -> merged bills, one row per article, with deductions and article classes.
+
+    ``scope`` tells bills of one number apart and goes to every step: by default the upload columns of the frame and
+    the outlet.
+    """
+    scope = scope or bill_scope(df)
     known = df.filter(F.col("outlet").isin(*OUTLETS))
-    return classify_articles(fold_deductions(group_bill_lines(merge_transferred_bills(known), line)))
+    return classify_articles(fold_deductions(group_bill_lines(merge_transferred_bills(known, scope), line, scope), scope))
 
 
 def bill_rows(df: DataFrame) -> DataFrame:

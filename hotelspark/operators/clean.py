@@ -29,13 +29,13 @@ def standardise_reservations(df: DataFrame) -> DataFrame:
         **{d: dates.normalise_timestamp(c(d)) for d in ("arrival_date", "depart_date", *_STAMPS)},
         **{t: dates.clock_hhmm(c(t)) for t in ("check_in_time", "check_out_time")},
         "room_number": F.trim("room_number"), "room_type": F.upper(F.trim("room_type")),
-        "segment": F.upper(F.trim("segment")), "email": text.null_if_blank(email),
+        "segment": F.upper(F.trim("segment")), "email": text.given(email),
         "mobile_phone": numbers.stay_phone(c("mobile_phone")),
         **{m: amount(m) for m in MONEY_COLUMNS if m in df.columns},
         **{i: text.strip_dot_zero(c(i)) for i in ("guest_id", "bill_number")},
         **{n: F.coalesce(numbers.whole_number(c(n)), F.lit(0)) for n in ("age", "adult_count", "child_count", "nights")},
         "remarks": text.remark_text(c("remarks")),
-    }).withColumn("guest_name", text.null_if_blank(name))
+    }).withColumn("guest_name", text.given(name))
     return out.withColumn("guest_id", ids.stay_guest_id(
         c("guest_id"), c("guest_name"), c("room_number"), c("arrival_date"), c("csv_upload_id"), c("id")
     ))
@@ -113,7 +113,7 @@ def profile_rows(df: DataFrame) -> DataFrame:
 
 
 def chat_rows(df: DataFrame, row_columns: list[str] | None = None) -> DataFrame:
-    """Export cells -> raw chat rows: typed rows only, exact duplicates and group chats gone, dates parsed.
+    """Export cells -> raw chat rows: typed rows only, exact duplicates and group chats of an upload gone, dates parsed.
 
     ``row_columns`` are the cells that make two rows duplicates; by default all but the line bookkeeping.
     """
@@ -121,7 +121,11 @@ def chat_rows(df: DataFrame, row_columns: list[str] | None = None) -> DataFrame:
     strings = [n for n, t in df.dtypes if t == "string" and n not in ("source_file",)]
     df = df.withColumns({s: F.nullif(F.regexp_replace(s, "\t", ""), F.lit("")) for s in strings})
     same = row_columns or [c for c in df.columns if c not in ("line_no",)]
-    df = drop_group_chats(df.dropDuplicates(same), "phone_number", "Name" if "Name" in df.columns else "name")
+    if "line_no" in df.columns and not row_columns:
+        df = df.groupBy(*same).agg(F.min("line_no").alias("line_no")).select(*df.columns)
+    else:
+        df = df.dropDuplicates(same)
+    df = drop_group_chats(df, "phone_number", "Name" if "Name" in df.columns else "name")
     df = df.withColumn("message_date", dates.parse_chat_timestamp(F.col("message_date"))).dropna(subset=["message_date"])
     return df.withColumns({c: F.trim(c) for c in ("phone_number", "message_type", "message")})
 

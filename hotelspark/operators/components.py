@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hotelspark.session import ensure_checkpoint_dir
 
 
-def component_max(edges: DataFrame, scope: list[str], src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+def component_max(edges: DataFrame, scope: list[str], src: str = "src", dst: str = "dst") -> DataFrame:
     """(scope..., node, label): every node of an undirected graph with the largest node of its component.
 
     Each star is an aggregation to one row per node and an equi-join back to the edges, so a hub node is
@@ -20,7 +20,7 @@ def component_max(edges: DataFrame, scope: list[str], src: str = "src", dst: str
         *scope, F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")
     ).distinct().checkpoint()
     seen = _fingerprint(pairs, scope)
-    for _ in range(max_rounds):
+    while True:
         # The large star keeps the number of edges, so duplicates are only removed after the small one.
         larger = _star(pairs, scope, both_ways=True)
         pairs = _star(larger, scope, both_ways=False).distinct().checkpoint()
@@ -28,8 +28,6 @@ def component_max(edges: DataFrame, scope: list[str], src: str = "src", dst: str
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     labels = pairs.select(*scope, F.col("u").alias("node"), F.col("v").alias("label"))
     roots = labels.select(*scope, F.col("label").alias("node"), "label").distinct()
     return labels.unionByName(roots)

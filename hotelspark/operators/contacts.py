@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Columns that tell one uploaded file from another.
+UPLOAD = ("csv_upload_id", "source_file")
+
+
+def upload_columns(df: DataFrame) -> list[str]:
+    return [c for c in UPLOAD if c in df.columns]
+
+
 def _present(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -67,22 +75,30 @@ def link_by_guest(resv: DataFrame, prof: DataFrame) -> DataFrame:
     )
 
 
-def drop_group_chats(df: DataFrame, title: str = "chats", name: str = "name") -> DataFrame:
-    """Drop messages of group chats and of everyone seen in one.
+def drop_group_chats(df: DataFrame, title: str = "chats", name: str = "name", scope: tuple[str, ...] | None = None) -> DataFrame:
+    """Drop messages of group chats and of everyone seen in one, upload by upload.
 
     A chat whose title does not start with ``+`` is a group; names seen there are staff. Rows whose sender or
-    title is such a name go. A missing name matches a missing name.
+    title is such a name go. A missing name matches a missing name. ``scope`` names the columns that tell uploads
+    apart; by default those of ``UPLOAD`` that the frame has, and without any the frame is one upload.
     """
+    scope = upload_columns(df) if scope is None else list(scope)
     group = ~F.coalesce(F.col(title).startswith("+"), F.lit(False))
-    members = df.filter(group).select(F.col(name).alias("_member")).distinct()
-    return df.join(members, F.col(name).eqNullSafe(F.col("_member")), "left_anti").join(
-        members, F.col(title).eqNullSafe(F.col("_member")), "left_anti"
-    )
+    members = df.filter(group).select(F.col(name).alias("_member"), *[F.col(c).alias(f"_{c}") for c in scope]).distinct()
+
+    def in_upload(column: str) -> Column:
+        test = F.col(column).eqNullSafe(F.col("_member"))
+        for c in scope:
+            test = test & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return test
+
+    return df.join(members, in_upload(name), "left_anti").join(members, in_upload(title), "left_anti")
 
 
-def duplicate_guests(prof: DataFrame, name_fragment: str, birth_date: str, n: int = 20) -> DataFrame:
-    """Candidates with a birth date and a name containing the fragment."""
-    return prof.filter((F.col("birth_date") == birth_date) & F.col("name").contains(name_fragment)).orderBy("id").limit(n)
+def duplicate_guests(prof: DataFrame, name_fragment: str, birth_date: str, n: int | None = None) -> DataFrame:
+    """Candidates with a birth date and a name containing the fragment, all or the first n by id."""
+    found = prof.filter((F.col("birth_date") == birth_date) & F.col("name").contains(name_fragment)).orderBy("id")
+    return found if n is None else found.limit(n)
 
 
 def duplicate_groups(prof: DataFrame) -> DataFrame:

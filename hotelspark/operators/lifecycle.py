@@ -69,7 +69,8 @@ def purge_deleted(tables: Mapping[str, DataFrame], ledger: DataFrame | None = No
 
 
 def purge_expired(df: DataFrame, now: Column, state: Column, ttls: Mapping[bool, tuple[str, int]]) -> tuple[DataFrame, DataFrame]:
-    """Two-TTL purge: (kept, counts). ``ttls`` maps a state to (time column, minutes); a null time never expires."""
+    """Two-TTL purge: (kept, counts). ``ttls`` maps a state to (time column, minutes); a null time never
+    expires, nor does a state without an entry."""
     expired = {
         flag: (state == F.lit(flag)) & F.coalesce(
             F.col(column) < now - F.make_dt_interval(mins=F.lit(minutes)), F.lit(False)
@@ -80,8 +81,8 @@ def purge_expired(df: DataFrame, now: Column, state: Column, ttls: Mapping[bool,
     for test in expired.values():
         any_expired = any_expired | F.coalesce(test, F.lit(False))
     counts = df.agg(
-        F.count(F.when(expired[False], 1)).alias("deleted_unconsumed"),
-        F.count(F.when(expired[True], 1)).alias("deleted_consumed"),
+        F.count(F.when(expired.get(False, F.lit(False)), 1)).alias("deleted_unconsumed"),
+        F.count(F.when(expired.get(True, F.lit(False)), 1)).alias("deleted_consumed"),
     ).withColumn("deleted_total", F.col("deleted_unconsumed") + F.col("deleted_consumed"))
     return df.filter(~any_expired), counts
 

@@ -31,12 +31,12 @@ def _text_parts(parts: Column, kinds: tuple[str, ...]) -> Column:
 
 
 def parse_transcripts(messages: DataFrame, data: str = "message_data", session: str = "session_id",
-                      order: tuple[str, ...] = ("created_at", "id"), per_session: int | None = 500) -> DataFrame:
-    """JSON messages -> role and content, the first ``per_session`` of each session by time.
+                      order: tuple[str, ...] = ("created_at", "id"), per_session: int | None = None) -> DataFrame:
+    """JSON messages -> role and content: all of them, or the first ``per_session`` of each session by time.
 
     Text parts are joined by newlines, tool calls and outputs become text, unreadable JSON is kept as it is.
-    The rank filter is pushed below the shuffle by Spark's window group limit, so each task forwards at most
-    that many rows of a session.
+    Without a number there is no shuffle. With one, Spark's window group limit works below the shuffle, so each task
+    forwards at most that many rows of a session.
     """
     m = F.col("_m")
     is_message = m["type"] == "message"
@@ -79,10 +79,11 @@ def is_seed_prompt(c: Column) -> Column:
 
 
 def is_insight_payload(c: Column) -> Column:
+    """A digest: it names preferences, or both other lists, or one of them in a JSON object."""
     t = F.lower(F.trim(c))
-    has = lambda w: F.contains(t, F.lit(f'"{w}"'))
-    any_list = has("insights") | has("patterns") | has("preferences")
-    return (t.startswith("{") & any_list) | (has("insights") & has("patterns")) | has("preferences")
+    insights, patterns, preferences = (F.contains(t, F.lit(f'"{name}"')) for name in ("insights", "patterns", "preferences"))
+    enough = F.when(t.startswith("{"), F.lit(1)).otherwise(F.lit(2))
+    return preferences | (insights.cast("int") + patterns.cast("int") >= enough)
 
 
 def compact_runs(messages: DataFrame, data: str = "message_data") -> DataFrame:
@@ -136,8 +137,8 @@ def tag_runs(messages: DataFrame, marks: DataFrame) -> DataFrame:
     return messages.join(m, "session_id", "left").withColumn("run_id", tagged).select(*messages.columns)
 
 
-def sessions_needing_digest(sessions: DataFrame, insights: DataFrame, n: int | None = 1) -> DataFrame:
-    """Sessions other than the latest that changed after their last insight, or have none; oldest first."""
+def sessions_needing_digest(sessions: DataFrame, insights: DataFrame, n: int | None = None) -> DataFrame:
+    """Sessions other than the latest that changed after their last insight, or have none; oldest first, all or ``n``."""
     latest = sessions.agg(F.max_by("session_id", F.struct("updated_at", "session_id"))).scalar()
     last = insights.groupBy("session_id").agg(F.max("created_at").alias("last_insight_at"))
     due = sessions.filter(F.col("session_id") != latest).join(last, "session_id", "left").filter(
@@ -157,7 +158,7 @@ def cosine_similarity(vector: Column, query: list[float]) -> Column:
     return F.when(F.size(vector) == len(query), dot / F.nullif(norm * F.lit(q_norm), F.lit(0.0)))
 
 
-def similar_top_k(df: DataFrame, query: list[float], k: int = 5, threshold: float = 0.7, user: str | None = None,
+def similar_top_k(df: DataFrame, query: list[float], k: int, threshold: float, user: str | None = None,
                   vector: str = "embedding", id: str = "id") -> DataFrame:
     """The k most similar rows at or above the threshold, best first, score rounded to three decimals.
 

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Character references written by the pages we read; numeric ones follow a rule.
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&middot;", "·"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&bull;", "•"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&times;", "×"),
-)
+# Text of all named character references of HTML that end in a semicolon, as one JSON object.
+NAMED = json.dumps({name.removesuffix(";"): text for name, text in html5.items() if name.endswith(";")})
 
 
 def _decode_numeric(c: Column) -> Column:
@@ -30,16 +26,28 @@ def _decode_numeric(c: Column) -> Column:
     return F.when(c.contains("&#"), F.array_join(F.transform(bits, one), "")).otherwise(c)
 
 
+def _decode_named(c: Column) -> Column:
+    """Named references, looked up only in texts that have any; unknown names stay."""
+    names = F.from_json(F.lit(NAMED), "map<string,string>")
+
+    def one(bit: Column) -> Column:
+        name = F.regexp_extract(bit, r"^&([a-zA-Z][a-zA-Z0-9]*);", 1)
+        text = F.try_element_at(names, name)
+        return F.when(text.isNotNull(), F.concat(text, F.substr(bit, F.length(name) + 3))).otherwise(bit)
+
+    return F.when(c.rlike("&[a-zA-Z][a-zA-Z0-9]*;"), F.array_join(F.transform(F.split(c, "(?=&[a-zA-Z])"), one), "")).otherwise(c)
+
+
 def decode_entities(c: Column) -> Column:
-    named = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, _decode_numeric(c))
-    return F.replace(named, F.lit("&amp;"), F.lit("&"))
+    """Every reference is read once: what one stands for never starts another."""
+    return _decode_named(_decode_numeric(c))
 
 
-def page_text(html: Column, limit: int | None = 5000) -> Column:
+def page_text(html: Column, limit: int | None = None) -> Column:
     """Text of a page: scripts, styles, comments and tags out, white space tidied.
 
     Lines are trimmed, cut at double spaces, and their non-empty pieces joined by single spaces. The whole page
-    is read; ``limit`` shortens the result to so many characters and adds "...".
+    is read and kept; ``limit``, where given, shortens the result to so many characters and adds "...".
     """
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", "")
@@ -54,5 +62,5 @@ def page_text(html: Column, limit: int | None = 5000) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
-def html_to_text(pages: DataFrame, limit: int | None = 5000, html: str = "html") -> DataFrame:
+def html_to_text(pages: DataFrame, limit: int | None = None, html: str = "html") -> DataFrame:
     return pages.withColumn("text", page_text(F.col(html), limit)).drop(html)

@@ -34,6 +34,10 @@ class ReportError(ValueError):
     """A file without rows or without a required column."""
 
 
+# Cells may be of any length.
+csv.field_size_limit(2**31 - 1)
+
+
 def _open(path: str) -> io.TextIOWrapper:
     """UTF-8 text of a local path or any URI Arrow can open (hdfs, s3, gs); a byte order mark is skipped."""
     if re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]+://", path) or path.startswith("file:"):
@@ -124,7 +128,7 @@ class ReportReader(DataSourceReader):
                     rows = []
             if rows:
                 yield batch(rows)
-        except (ReportError, UnicodeDecodeError) as problem:
+        except (ReportError, UnicodeDecodeError, csv.Error) as problem:
             if self.errors != "row":
                 raise
             yield batch([{"source_file": partition.path, "_error": str(problem)}])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hotelspark.schemas import REPORTS
@@ -11,10 +11,10 @@ LIVE = ("COMPLETED", "PROCESSING")
 
 
 def read_files(spark: SparkSession, paths: str | list[str], file_type: str) -> DataFrame:
-    """filename, file_type and content of uploaded files, one row each."""
+    """filename, file_type, content and path of uploaded files, one row each."""
     files = spark.read.format("binaryFile").load(paths)
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(file_type).alias("file_type"), "content"
+        F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(file_type).alias("file_type"), "content", "path"
     )
 
 
@@ -28,8 +28,8 @@ def register_uploads(files: DataFrame, ledger: DataFrame, *, content: str = "con
     """Verdict per file: (filename, file_type, file_hash, status, error_message).
 
     Accepted files get status PROCESSING; REJECTED ones say why. A hash that is COMPLETED or PROCESSING in the
-    ledger is a duplicate, and of several new files with one content the first by name is taken. Only hashes
-    are shuffled, never contents.
+    ledger is a duplicate, and of several new files with one content exactly one is taken, the first by name,
+    then by path if there is one. Only hashes are shuffled, never contents.
     """
     body = F.col(content).cast("binary")
     problem = (
@@ -38,11 +38,12 @@ def register_uploads(files: DataFrame, ledger: DataFrame, *, content: str = "con
         .when(body.isNull() | (F.length(body) == 0), F.lit("file is empty"))
         .when(~is_utf8(body), F.lit("file is not UTF-8"))
     )
-    seen = files.select("filename", "file_type", F.sha2(body, 256).alias("file_hash"), problem.alias("problem"))
+    path = F.col("path") if "path" in files.columns else F.lit("")
+    seen = files.select("filename", "file_type", F.sha2(body, 256).alias("file_hash"), problem.alias("problem"), path.alias("_path"))
     live = ledger.filter(F.col("status").isin(*LIVE)).select("file_hash", F.lit(True).alias("_live")).distinct()
-    firsts = seen.filter("problem is null").groupBy("file_hash").agg(F.min("filename").alias("_first"))
-    judged = seen.join(live, "file_hash", "left").join(firsts, "file_hash", "left")
-    duplicate = F.col("_live") | (F.col("filename") != F.col("_first"))
+    rank = F.row_number().over(Window.partitionBy("file_hash", F.col("problem").isNull()).orderBy("filename", "_path", "file_type"))
+    judged = seen.withColumn("_rank", rank).join(live, "file_hash", "left")
+    duplicate = F.coalesce("_live", F.lit(False)) | (F.col("_rank") > 1)
     error = F.coalesce("problem", F.when(duplicate, F.lit("content was uploaded before")))
     return judged.select(
         "filename", "file_type", "file_hash",

@@ -7,34 +7,35 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from hotelspark.operators.clean import CLEANERS
 from hotelspark.schemas import EVENTS
 
 KEPT_OPERATIONS = ("c", "u")
-RATE_LIMIT = 1000
 
 
-def decode_changes(values: DataFrame, payload: str, value: str = "value") -> DataFrame:
+def decode_changes(values: DataFrame, payload: T.StructType | str, value: str = "value") -> DataFrame:
     """JSON envelopes {after, op} -> payload columns of creates and updates; snapshots and deletes are dropped."""
-    envelope = f"after struct<{payload}>, op string"
+    fields = payload if isinstance(payload, T.StructType) else T.StructType.fromDDL(payload)
+    envelope = T.StructType([T.StructField("after", fields), T.StructField("op", T.StringType())])
     data = F.from_json(F.col(value).cast("string"), envelope)
     return values.select(data.alias("d")).filter(F.col("d.op").isin(*KEPT_OPERATIONS)).select("d.after.*")
 
 
-def read_cdc(spark: SparkSession, format: str, options: Mapping[str, str], payload: str, stream: bool = True) -> DataFrame:
+def read_cdc(spark: SparkSession, format: str, options: Mapping[str, str], payload: T.StructType | str, stream: bool = True) -> DataFrame:
     """Change events as payload rows.
 
-    ``kafka`` starts at the earliest offsets and takes 1000 per trigger unless told otherwise; ``text`` reads
-    files with one JSON value per line (``path`` required).
+    ``kafka`` starts at the earliest offsets; ``maxOffsetsPerTrigger`` in the options limits a batch, which nothing
+    does by default. ``text`` reads files with one JSON value per line (``path`` required).
     """
     options = dict(options)
     reader = spark.readStream if stream else spark.read
     if format == "kafka":
-        options = {"startingOffsets": "earliest", "maxOffsetsPerTrigger": str(RATE_LIMIT), **options}
+        options = {"startingOffsets": "earliest", **options}
         if not stream:
-            options.pop("maxOffsetsPerTrigger")
+            options.pop("maxOffsetsPerTrigger", None)
     elif format == "text":
         reader = reader.schema("value string")
     return decode_changes(reader.format(format).options(**options).load(), payload)
@@ -70,9 +71,13 @@ class Job:
 
 
 def chosen_jobs(names: str = "all") -> list[str]:
-    """Comma list of job names -> the known ones; 'all' or blank means every job."""
-    wanted = names.strip().lower() or "all"
-    return list(CLEANERS) if wanted == "all" else [n for n in wanted.split(",") if n in CLEANERS]
+    """Comma list of job names, spaces allowed; 'all' or blank means every job, an unknown name is an error."""
+    wanted = [n.strip() for n in names.lower().split(",") if n.strip()] or ["all"]
+    if wanted == ["all"]:
+        return list(CLEANERS)
+    if unknown := [n for n in wanted if n not in CLEANERS]:
+        raise ValueError(f"unknown jobs: {', '.join(unknown)}")
+    return wanted
 
 
 def start_job(spark: SparkSession, name: str, job: Job, available_now: bool = False) -> StreamingQuery:
@@ -83,7 +88,12 @@ def start_job(spark: SparkSession, name: str, job: Job, available_now: bool = Fa
 
 def run_jobs(spark: SparkSession, jobs: Mapping[str, Job], names: str = "all", available_now: bool = False) -> list[StreamingQuery]:
     """Start the named jobs and wait for all of them; the first failure is raised as soon as it happens."""
-    queries = [start_job(spark, n, jobs[n], available_now) for n in chosen_jobs(names) if n in jobs]
+    wanted = chosen_jobs(names)
+    if names.strip().lower() in ("", "all"):
+        wanted = [n for n in wanted if n in jobs]
+    elif missing := [n for n in wanted if n not in jobs]:
+        raise ValueError(f"no settings for jobs: {', '.join(missing)}")
+    queries = [start_job(spark, n, jobs[n], available_now) for n in wanted]
     running = list(queries)
     while running:
         for q in list(running):

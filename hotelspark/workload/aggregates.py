@@ -358,7 +358,7 @@ def _(load):
 @query("events_per_day", """
 SELECT ts::DATE::VARCHAR AS chat_date, count(*)::BIGINT AS message_count FROM events GROUP BY ts::DATE ORDER BY ts::DATE DESC LIMIT 30""")
 def _(load):
-    return lookups.volume_per_day(load("events"), "ts")
+    return lookups.volume_per_day(load("events"), "ts", 30)
 
 
 @query("duplicate_guest_groups", """
@@ -372,7 +372,7 @@ def _(load):
 @query("duplicate_guest_candidates", """
 SELECT id::BIGINT AS id, name, birth_date FROM fx_profiles WHERE name LIKE '%Customer%' AND birth_date = '1950-02-03' ORDER BY id LIMIT 20""", P)
 def _(load):
-    return contacts.duplicate_guests(load("fx_profiles"), "Customer", "1950-02-03").select("id", "name", "birth_date")
+    return contacts.duplicate_guests(load("fx_profiles"), "Customer", "1950-02-03", 20).select("id", "name", "birth_date")
 
 
 # ---- restaurant bills -------------------------------------------------------------------------------------------

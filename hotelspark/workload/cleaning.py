@@ -105,8 +105,8 @@ def _(load):
 
 @query("guest_ids_made", """
 SELECT r.id, CASE r.id % 4 WHEN 0 THEN r.guest_id
-  WHEN 1 THEN substr('CUSTOMER_' || substr(guest_name, 10) || '_' || room_number || '_' || strftime(arrival_date, '%Y%m%d'), 1, 50)
-  WHEN 2 THEN substr('CUSTOMER_' || substr(guest_name, 10) || '_' || strftime(arrival_date, '%Y%m%d') || '_' || CAST(r.id AS VARCHAR), 1, 50)
+  WHEN 1 THEN 'CUSTOMER_' || substr(guest_name, 10) || '_' || room_number || '_' || strftime(arrival_date, '%Y%m%d')
+  WHEN 2 THEN 'CUSTOMER_' || substr(guest_name, 10) || '_' || strftime(arrival_date, '%Y%m%d') || '_' || CAST(r.id AS VARCHAR)
   ELSE 'GUEST_' || CAST(csv_upload_id AS VARCHAR) || '_' || CAST(r.id AS VARCHAR) END AS made FROM fx_reservations r""", R)
 def _(load):
     k = F.col("id") % 4
@@ -184,14 +184,11 @@ def _(load):
 
 
 @query("cells_scrubbed", """
-SELECT o_orderkey AS id, '"' || o_orderpriority || '"' AS cell FROM orders WHERE FALSE
-UNION ALL SELECT o_orderkey, o_orderpriority FROM orders""")
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderpriority || '"' END AS cell FROM orders""")
 def _(load):
     raw = F.concat(F.lit('\t "'), F.col("o_orderpriority"), F.lit("\"'\t "))
     tidy = F.concat(F.lit(' "'), F.col("o_orderpriority"), F.lit('"\t'))
-    cell = F.when(F.col("o_orderkey") % 2 == 0, text.scrub_cell(tidy)).otherwise(
-        F.regexp_replace(text.scrub_cell(raw), '"$', ""))
-    return load("orders").select(F.col("o_orderkey").alias("id"), cell.alias("cell"))
+    return load("orders").select(F.col("o_orderkey").alias("id"), text.scrub_cell(F.when(F.col("o_orderkey") % 2 == 0, tidy).otherwise(raw)).alias("cell"))
 
 
 @query("reservations_cleaned", """

@@ -30,7 +30,7 @@ _CONTENT = """CASE WHEN id % 10 = 7 THEN '{broken' WHEN id % 10 = 8 THEN 'sql('
 
 @query("transcripts_parsed", f"""
 , r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id) AS rn FROM fx_messages)
-SELECT id, session_id, run_id, {_ROLE} AS role, {_CONTENT} AS content FROM r WHERE rn <= 500""", M)
+SELECT id, session_id, run_id, {_ROLE} AS role, {_CONTENT} AS content FROM r""", M)
 def _(load):
     return sessions.parse_transcripts(_message_json(load), order=("id",))
 

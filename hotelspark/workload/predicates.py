@@ -44,24 +44,24 @@ def _(load):
 
 @query("preview_reservations", "SELECT id, guest_name, room_number FROM fx_reservations ORDER BY id LIMIT 5", R)
 def _(load):
-    return lookups.preview(load("fx_reservations"), "reservation")
+    return lookups.preview(load("fx_reservations"), "reservation", 5, 50)
 
 
 @query("preview_profiles", "SELECT id::BIGINT AS id, name, email FROM fx_profiles ORDER BY id LIMIT 5", P)
 def _(load):
-    return lookups.preview(load("fx_profiles"), "profile_guest")
+    return lookups.preview(load("fx_profiles"), "profile_guest", 5, 50)
 
 
 @query("preview_chats", """
 SELECT id, chats AS phone_number, substr(content, 1, 50) AS message FROM fx_chats ORDER BY id LIMIT 5""", C)
 def _(load):
-    return lookups.preview(load("fx_chats").withColumnsRenamed({"chats": "phone_number", "content": "message"}), "chat_whatsapp")
+    return lookups.preview(load("fx_chats").withColumnsRenamed({"chats": "phone_number", "content": "message"}), "chat_whatsapp", 5, 50)
 
 
 @query("preview_bills", """
 SELECT line_no AS id, bill_number, description AS guest_name, sales::DOUBLE AS sales FROM fx_bills ORDER BY line_no LIMIT 5""", B)
 def _(load):
-    return lookups.preview(load("fx_bills").withColumnsRenamed({"line_no": "id", "description": "guest_name"}), "transaction_resto")
+    return lookups.preview(load("fx_bills").withColumnsRenamed({"line_no": "id", "description": "guest_name"}), "transaction_resto", 5, 50)
 
 
 @query("stays_in_house", f"""
@@ -75,13 +75,13 @@ SELECT id, chats, message_date::VARCHAR AS message_date, content FROM fx_chats
 WHERE contains(lower(content), 'che') ORDER BY fx_chats.message_date DESC, id DESC LIMIT 100""", C)
 def _(load):
     newest = [F.col("message_date").desc(), F.col("id").desc()]
-    return lookups.keyword_search(load("fx_chats"), "content", "CHE", newest).select("id", "chats", "message_date", "content")
+    return lookups.keyword_search(load("fx_chats"), "content", "CHE", newest, 100).select("id", "chats", "message_date", "content")
 
 
 @query("documents_with_keyword", """
 SELECT doc_id, lang, n_chars FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id DESC LIMIT 100""")
 def _(load):
-    return lookups.keyword_search(load("documents"), "text", "The", [F.col("doc_id").desc()]).select("doc_id", "lang", "n_chars")
+    return lookups.keyword_search(load("documents"), "text", "The", [F.col("doc_id").desc()], 100).select("doc_id", "lang", "n_chars")
 
 
 @query("stay_history_of_phone", """
@@ -100,7 +100,7 @@ def _(load):
 SELECT id::BIGINT AS id, name, phone, mobile_no FROM fx_profiles
 WHERE mobile_no = '+62810008' OR phone = '+62810008' OR lower(email) = 'customer#000000010@example.com' ORDER BY id LIMIT 5""", P)
 def _(load):
-    return lookups.profile_lookup(load("fx_profiles"), "+62810008", "customer#000000010@EXAMPLE.com").select(
+    return lookups.profile_lookup(load("fx_profiles"), "+62810008", "customer#000000010@EXAMPLE.com", 5).select(
         "id", "name", "phone", "mobile_no"
     )
 
@@ -113,7 +113,7 @@ def _(load):
 
 @query("messages_page", "SELECT id, session_id, role FROM fx_messages WHERE id > 20005 ORDER BY id LIMIT 50", M)
 def _(load):
-    return lookups.page_after(load("fx_messages"), 20005).select("id", "session_id", "role")
+    return lookups.page_after(load("fx_messages"), 20005, 50).select("id", "session_id", "role")
 
 
 @query("uploads_recent", """
@@ -123,4 +123,4 @@ def _(load):
     ledger = load("orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("filename"), F.col("o_orderdate").cast("date").alias("created_at")
     )
-    return lookups.recent_uploads(ledger)
+    return lookups.recent_uploads(ledger, 10)

@@ -108,5 +108,5 @@ def _(load):
 @query("page_texts_shortened", _PAGE_SQL + """
 SELECT page_id, length(text)::BIGINT AS chars, CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000) || '...' ELSE text END AS text FROM done""")
 def _(load):
-    text = load("pages").select("page_id", pages.page_text(F.col("html"), None).alias("whole"), pages.page_text(F.col("html")).alias("text"))
+    text = load("pages").select("page_id", pages.page_text(F.col("html"), None).alias("whole"), pages.page_text(F.col("html"), 5000).alias("text"))
     return text.select("page_id", F.length("whole").alias("chars"), "text")

@@ -178,12 +178,21 @@ def test_filters_reject_nothing_on_empty_lists(resv):
 
 def test_readonly_sql(spark, resv):
     register_marts({"stays": resv})
-    out = describe_result(run_readonly_sql(spark, "SELECT count(*) AS n FROM datamart_stays;"))
-    assert out == {"data": [{"n": 5}], "schema": ["n"], "row_count": 1}
+    out = describe_result(run_readonly_sql(spark, "SELECT count(*) AS n FROM datamart_stays;"), 10)
+    assert out == {"data": [{"n": 5}], "schema": ["n"], "row_count": 1, "more": False}
     for bad in ("DROP TABLE x", "SELECT 1; DELETE FROM x", "EXPLAIN SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a"):
         with pytest.raises(ValueError):
-            check_readonly(bad)
-    assert check_readonly("WITH a AS (SELECT 1) SELECT * FROM a", allow_with=True)
+            check_readonly(spark, bad)
+    assert check_readonly(spark, "WITH a AS (SELECT 1) SELECT * FROM a", allow_with=True)
+    resv.createOrReplaceTempView("unpublished")
+    for bad in ("SELECT * FROM parquet.`/tmp/x`", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM unpublished",
+                "SELECT 1 WHERE 1 IN (SELECT id FROM unpublished)", "WITH a AS (SELECT * FROM unpublished) SELECT * FROM a",
+                "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SET a = 1"):
+        with pytest.raises(ValueError):
+            check_readonly(spark, bad, allow_with=True)
+    for good in ("SELECT replace('a', 'a', 'b')", "SELECT * FROM datamart_stays a JOIN (SELECT max(id) AS m FROM datamart_stays) b ON a.id = b.m ORDER BY 1 LIMIT 2",
+                 "SELECT 1 UNION ALL SELECT 2", "SELECT DISTINCT segment FROM datamart_stays HAVING count(*) > 1"):
+        assert check_readonly(spark, good)
 
 
 def test_plans_have_no_nested_loops_or_python(resv, builds):

@@ -126,7 +126,7 @@ def test_jobs_write_json_values(spark, folder):
         "chat_whatsapp": cdc.Job("text", {"path": str(folder / "src")}, "text", {"path": str(folder / "out")}, str(folder / "cp1")),
         "transaction_resto": cdc.Job("text", {"path": str(folder / "bills")}, "text", {"path": str(folder / "out2")}, str(folder / "cp2")),
     }
-    cdc.run_jobs(spark, jobs, "chat_whatsapp,transaction_resto,unknown", available_now=True)
+    cdc.run_jobs(spark, jobs, "chat_whatsapp, transaction_resto", available_now=True)
     out = [json.loads(r.value) for r in spark.read.text(str(folder / "out")).collect()]
     assert out == [{"id": 1, "csv_upload_id": 1, "phone_number": "8123", "message_type": "Sent", "message_date": "2024-01-05 07:00:00", "message": "hi"}]
     bill = json.loads(spark.read.text(str(folder / "out2")).first().value)
@@ -143,4 +143,6 @@ def test_a_failing_job_is_raised(spark, folder):
 
 def test_job_names():
     assert cdc.chosen_jobs(" ALL ") == list(CLEANERS) == cdc.chosen_jobs("")
-    assert cdc.chosen_jobs("chat_whatsapp,nothing") == ["chat_whatsapp"]
+    assert cdc.chosen_jobs("chat_whatsapp, reservasi") == ["chat_whatsapp", "reservasi"]
+    with pytest.raises(ValueError):
+        cdc.chosen_jobs("chat_whatsapp,nothing")

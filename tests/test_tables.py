@@ -50,14 +50,15 @@ def test_footer_rows(spark):
 
 def test_previews(spark):
     df = spark.createDataFrame([(2, "a", "b", "1"), (1, None, "b", "1")], "id int, first_name string, last_name string, room_number string")
-    assert [tuple(r) for r in lookups.preview(df, "reservation").collect()] == [(1, None, "1"), (2, "a b", "1")]
+    assert [tuple(r) for r in lookups.preview(df, "reservation", 5, 50).collect()] == [(1, None, "1"), (2, "a b", "1")]
     with pytest.raises(ValueError):
-        lookups.preview(df, "other")
+        lookups.preview(df, "other", 5, 50)
 
 
 def test_pages_have_a_default_size(spark):
     df = spark.range(1, 200)
-    assert lookups.page_after(df, 100, 0).count() == 50
+    with pytest.raises(ValueError):
+        lookups.page_after(df, 100, 0)
     assert [r.id for r in lookups.page_after(df, 197, 5).collect()] == [198, 199]
 
 
@@ -141,8 +142,8 @@ def test_compact_runs(spark):
 def test_similarity(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], "u"), (2, [1.0, 1.0], "u"), (3, None, "u"), (4, [0.0, 0.0], "u"), (5, [2.0, 0.0], "w")],
                                "id int, embedding array<float>, user_id string")
-    assert [(r.id, r.similarity_score) for r in sessions.similar_top_k(df, [1.0, 0.0]).collect()] == [(1, 1.0), (5, 1.0), (2, 0.707)]
-    assert [r.id for r in sessions.similar_top_k(df, [1.0, 0.0], user="u", k=1).collect()] == [1]
+    assert [(r.id, r.similarity_score) for r in sessions.similar_top_k(df, [1.0, 0.0], 5, 0.7).collect()] == [(1, 1.0), (5, 1.0), (2, 0.707)]
+    assert [r.id for r in sessions.similar_top_k(df, [1.0, 0.0], 1, 0.7, user="u").collect()] == [1]
 
 
 def test_chat_rows_drop_duplicates_and_undated(spark):
