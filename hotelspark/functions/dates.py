@@ -6,6 +6,7 @@ numeric parts, so a bad value gives null and never raises under ANSI mode.
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -20,7 +21,9 @@ _STAMP = (
     "^" + _DATE + r"(?:(?:\s+|[Tt])(\d{1,2})[:.](\d{1,2})(?:[:.](\d{1,2})(?:\.\d{1,9})?)?"
     r"\s*(Z|[+-](?:0\d|1[0-7])(?::?[0-5]\d)?)?)?$"
 )
-_DAY = "^" + _DATE.replace("-/", "-/.") + r"(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?$"
+_DAY = "^" + _DATE.replace("-/", "-/.") + r"(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_NAMED = r"(?i)^(?:(\d{1,2})[-\s]+)?([a-z]{3,9})(?:[-\s]+(\d{1,2}))?[-,\s]+(\d{4}|\d{2})$"
+_MONTHS = tuple(name.lower() for name in calendar.month_name[1:])
 
 
 def _with_parts(s: Column, pattern: str, groups: int, build: Callable[[Column], Column]) -> Column:
@@ -87,12 +90,25 @@ def compact_day(c: Column) -> Column:
 
 
 def parse_export_date(c: Column) -> Column:
-    """Date of a report cell: ISO first, then day-first, then month-first; dots and slashes allowed."""
+    """Date of a report cell: ISO first, then day-first, then month-first; dots and slashes, month names, eight digits,
+    and a time with a zone behind the date are allowed."""
     s = F.trim(c)
     numeric = _with_parts(s, _DAY, 3, lambda x: _read_date(x, lambda day: day.try_cast("date"), False, "dm"))
-    named = F.regexp_replace(s, r"[-,\s]+", " ")
-    months = [F.try_to_timestamp(named, F.lit(f)).cast("date") for f in ("d MMM yyyy", "MMM d yyyy")]
-    return F.when(s.rlike("[A-Za-z]{3}"), F.coalesce(*months)).otherwise(numeric)
+    compact = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date")
+    return F.when(s.rlike("(?i)[a-z]{3}"), _named_date(s)).when(s.rlike(r"^\d{8}$"), compact).otherwise(numeric)
+
+
+def _named_date(s: Column) -> Column:
+    """A date with the month's English name, whole or shortened to three letters, behind or before the day."""
+    forms = {form: number for number, name in enumerate(_MONTHS, 1) for form in (name, name[:3])} | {"sept": 9}
+    months = F.create_map(*[F.lit(x) for form, number in forms.items() for x in (form, str(number))])
+
+    def build(x: Column) -> Column:
+        year = F.when(F.length(x[3]) == 2, _long_year(x[3])).otherwise(x[3])
+        one_day = (x[0] == "") != (x[2] == "")
+        return F.when(one_day, F.concat_ws("-", year, F.try_element_at(months, F.lower(x[1])), F.concat(x[0], x[2])).try_cast("date"))
+
+    return _with_parts(s, _NAMED, 4, build)
 
 
 def parse_short_date(c: Column) -> Column:

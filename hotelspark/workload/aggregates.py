@@ -129,9 +129,9 @@ def _(load):
 
 _CHAT_ROWS = """
 , rows_c AS (SELECT id, CAST(id % 3 AS INT) AS csv_upload_id, chats AS phone_number, type AS message_type, message_date,
-  substr(content, 1, 12) AS message, id AS version, DATE '2024-03-01' + CAST(id % 9 AS INT) AS ingested_at,
+  content AS message, id AS version, DATE '2024-03-01' + CAST(id % 9 AS INT) AS ingested_at,
   CASE WHEN id % 4 = 0 THEN DATE '2024-04-01' END AS deleted_at FROM fx_chats
-  UNION ALL SELECT id + 1000000000, CAST(1 + id % 3 AS INT), chats, type, message_date, substr(content, 1, 12), id + 5, DATE '2024-03-11',
+  UNION ALL SELECT id + 1000000000, CAST(1 + id % 3 AS INT), chats, type, message_date, content, id + 5, DATE '2024-03-11',
   CASE WHEN id % 5 = 0 THEN DATE '2024-05-01' END FROM fx_chats)"""
 
 
@@ -142,7 +142,7 @@ def _(load):
     i, day = F.col("id"), lambda d: F.lit(d).cast("date")
     chats = load("fx_chats")
     keys = [F.col("chats").alias("phone_number"), F.col("type").alias("message_type"), "message_date",
-            F.substring("content", 1, 12).alias("message")]
+            F.col("content").alias("message")]
     once = chats.select(
         "id", (i % 3).cast("int").alias("csv_upload_id"), *keys, i.alias("version"),
         F.date_add(day("2024-03-01"), (i % 9).cast("int")).alias("ingested_at"), F.when(i % 4 == 0, day("2024-04-01")).alias("deleted_at"),
@@ -408,15 +408,36 @@ CATEGORY_SQL = """CASE WHEN {o} = 'Restaurant & Bar' THEN CASE WHEN {a} BETWEEN
   ELSE 'Others' END"""
 
 
+SUBCATEGORY_SQL = """CASE
+ WHEN o = 'Restaurant & Bar' AND a < 1 THEN 'Unknown'
+ WHEN o = 'Restaurant & Bar' AND a <= 40 THEN 'Breakfast' WHEN o = 'Restaurant & Bar' AND a <= 80 THEN 'Appetizer' WHEN o = 'Restaurant & Bar' AND a <= 120 THEN 'Dessert'
+ WHEN o = 'Restaurant & Bar' AND a <= 160 THEN 'Pasta' WHEN o = 'Restaurant & Bar' AND a <= 200 THEN 'Extra For Pasta' WHEN o = 'Restaurant & Bar' AND a <= 240 THEN 'Pizza'
+ WHEN o = 'Restaurant & Bar' AND a <= 280 THEN 'Easy Bite' WHEN o = 'Restaurant & Bar' AND a <= 1000 THEN 'Main Course'
+ WHEN o = 'Restaurant & Bar' AND a <= 2999 THEN CASE WHEN a // 10 = 100 THEN 'Coffee' WHEN a // 10 = 104 THEN 'Tea' WHEN a // 10 = 108 THEN 'Softdrink' WHEN a // 10 = 112 THEN 'Mineral Water'
+   WHEN a // 10 = 114 THEN 'Juice' WHEN a // 10 = 118 THEN 'Mocktail' WHEN a // 10 = 122 THEN 'Mixer' WHEN a // 10 = 200 THEN 'Beer' WHEN a // 10 BETWEEN 204 AND 208 THEN 'Cocktail'
+   WHEN a // 10 BETWEEN 210 AND 215 THEN 'Shoot' WHEN a // 100 = 22 THEN 'Bottle' ELSE 'Beverages' END
+ WHEN o = 'Restaurant & Bar' THEN CASE WHEN starts_with(t, '23') THEN 'Promo' WHEN starts_with(t, '30') THEN 'Cigarette' WHEN starts_with(t, '31') THEN 'Miscellaneous'
+   WHEN starts_with(t, '35') AND a NOT IN (3514, 3515, 3516) THEN 'Merchandise' WHEN starts_with(t, '40') THEN 'Soju' WHEN starts_with(t, '69') THEN 'Compliment Cake'
+   WHEN starts_with(t, '891') THEN 'Discount' WHEN starts_with(t, '98') THEN 'Compliment' WHEN starts_with(t, '990') THEN 'Cash' WHEN starts_with(t, '991') THEN 'Voucher'
+   WHEN starts_with(t, '993') THEN 'Credit Card' WHEN starts_with(t, '995') THEN 'City Ledger' ELSE 'Others' END
+ WHEN o = 'Room Service' THEN CASE WHEN a BETWEEN 1 AND 10 THEN 'Dessert' WHEN a BETWEEN 40 AND 49 THEN 'Pasta' WHEN a BETWEEN 121 AND 129 THEN 'Pizza' WHEN a BETWEEN 160 AND 199 THEN 'Snack'
+   WHEN a BETWEEN 200 AND 499 THEN 'Main Course' WHEN a BETWEEN 500 AND 599 THEN 'Beer' WHEN a BETWEEN 600 AND 699 THEN 'Cocktail' WHEN a BETWEEN 700 AND 799 THEN 'Canned'
+   WHEN a BETWEEN 800 AND 899 THEN 'Water' WHEN a BETWEEN 900 AND 999 THEN 'Coffee' WHEN a BETWEEN 1000 AND 1099 THEN 'Mocktail' WHEN a BETWEEN 1100 AND 1199 THEN 'Tea'
+   WHEN a BETWEEN 1200 AND 1299 THEN 'Juice' WHEN a BETWEEN 2000 AND 2999 THEN 'Bottle' WHEN a BETWEEN 3000 AND 3099 THEN 'Promo' ELSE 'Others' END
+ WHEN o = 'Banquet' THEN CASE a WHEN 3 THEN 'Room Rental' WHEN 4 THEN 'Coffee Break' WHEN 5 THEN 'Lunch' WHEN 6 THEN 'Dinner' ELSE 'Other' END
+ ELSE 'Unknown' END"""
+
+
 @query("bills_consolidated", MERGED_SQL + _GROUPED + f"""
 SELECT g.outlet, g.bill_number, g.article_number::BIGINT AS article_number, g.quantity, g.sales::DOUBLE AS sales, g.payment::DOUBLE AS payment, g.description,
   g.prev_bill_number, g.transaction_date::VARCHAR AS transaction_date, COALESCE(d.bill_discount, 0)::DOUBLE AS bill_discount,
   COALESCE(d.bill_compliment, 0)::DOUBLE AS bill_compliment, (COALESCE(d.bill_discount, 0) + COALESCE(d.bill_compliment, 0))::DOUBLE AS total_deduction,
-  {CATEGORY_SQL.format(o='g.outlet', a='g.article_number')} AS article_category
+  {CATEGORY_SQL.format(o='g.outlet', a='g.article_number')} AS article_category,
+  (SELECT {SUBCATEGORY_SQL} FROM (SELECT g.outlet AS o, g.article_number AS a, CAST(g.article_number AS VARCHAR) AS t)) AS article_subcategory
 FROM grouped g LEFT JOIN deducted d ON d.outlet = g.outlet AND d.bill_number = g.bill_number
 WHERE NOT (CAST(article_number AS VARCHAR) LIKE '891%' OR article_number BETWEEN 9801 AND 9899) AND NOT (g.quantity = 0 AND g.sales = 0 AND g.payment = 0)""", B)
 def _(load):
-    return bills.consolidate_bills(load("fx_bills")).drop("article_subcategory")
+    return bills.consolidate_bills(load("fx_bills"))
 
 
 @query("bill_deductions", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hotelspark.functions import dates, hotel, ids, numbers, text
 from hotelspark.operators import clean
-from hotelspark.workload.aggregates import CATEGORY_SQL
+from hotelspark.workload.aggregates import CATEGORY_SQL, SUBCATEGORY_SQL
 from hotelspark.workload.registry import query
 
 S, R, P, C, B = ("fx_stamps",), ("fx_reservations",), ("fx_profiles",), ("fx_chats",), ("fx_bills",)
@@ -17,28 +17,31 @@ _YMD = "make_timestamp(y, m, d, h, mi, s)"
 _MONTH_FIRST = "CASE WHEN d <= 12 THEN make_timestamp(y, d, m, h, mi, s) ELSE make_timestamp(y, m, d, h, mi, s) END"
 
 
-@query("timestamps_normalised", f"""
-SELECT id, raw, strftime(CASE fmt WHEN 0 THEN {_YMD} WHEN 8 THEN {_YMD} WHEN 1 THEN {_YMD} + INTERVAL 7 HOUR WHEN 9 THEN {_YMD} + INTERVAL 7 HOUR
+# The value of each shape of time stamp; the others have none.
+_BY_SHAPE = f"""WHEN 0 THEN {_YMD} WHEN 8 THEN {_YMD} WHEN 1 THEN {_YMD} + INTERVAL 7 HOUR WHEN 9 THEN {_YMD} + INTERVAL 7 HOUR
   WHEN 2 THEN {_YMD} - INTERVAL 150 MINUTE WHEN 3 THEN make_timestamp(y, m, d, 0, 0, 0) WHEN 5 THEN make_timestamp(y, m, d, 0, 0, 0)
-  WHEN 12 THEN make_timestamp(y, m, d, 0, 0, 0) WHEN 4 THEN {_MONTH_FIRST} WHEN 10 THEN {_MONTH_FIRST} END, '%Y-%m-%d %H:%M:%S') AS normalised
+  WHEN 12 THEN make_timestamp(y, m, d, 0, 0, 0) WHEN 4 THEN {_MONTH_FIRST} WHEN 10 THEN {_MONTH_FIRST}"""
+
+
+@query("timestamps_normalised", f"""
+SELECT id, raw, strftime(CASE fmt {_BY_SHAPE} END, '%Y-%m-%d %H:%M:%S') AS normalised
 FROM fx_stamps""", S)
 def _(load):
     return load("fx_stamps").select("id", "raw", dates.normalise_timestamp(F.col("raw")).alias("normalised"))
 
 
 @query("export_dates_parsed", """
-SELECT id, raw, CASE WHEN fmt IN (0, 5, 9, 12) THEN make_date(y, m, d) WHEN fmt = 4 THEN make_date(y, m, d)
+SELECT id, raw, CASE WHEN fmt IN (0, 1, 2, 5, 9, 12) THEN make_date(y, m, d) WHEN fmt = 4 THEN make_date(y, m, d)
   WHEN fmt = 3 THEN CASE WHEN d <= 12 THEN make_date(y, d, m) ELSE make_date(y, m, d) END END::VARCHAR AS day
-FROM fx_stamps WHERE fmt IN (0, 3, 4, 5, 6, 7, 12, 13)""", S)
+FROM fx_stamps""", S)
 def _(load):
-    rows = load("fx_stamps").filter(F.col("fmt").isin(0, 3, 4, 5, 6, 7, 12, 13))
-    return rows.select("id", "raw", dates.export_date_text(F.col("raw")).alias("day"))
+    return load("fx_stamps").select("id", "raw", dates.export_date_text(F.col("raw")).alias("day"))
 
 
 @query("chat_dates_parsed", f"""
-SELECT id, raw, CASE fmt WHEN 10 THEN {_MONTH_FIRST} WHEN 11 THEN {_YMD} WHEN 0 THEN {_YMD} END::VARCHAR AS at FROM fx_stamps WHERE fmt IN (0, 6, 7, 10, 11)""", S)
+SELECT id, raw, CASE fmt WHEN 11 THEN {_YMD} {_BY_SHAPE} END::VARCHAR AS at FROM fx_stamps""", S)
 def _(load):
-    return load("fx_stamps").filter(F.col("fmt").isin(0, 6, 7, 10, 11)).select(
+    return load("fx_stamps").select(
         "id", "raw", dates.parse_chat_timestamp(F.col("raw")).alias("at")
     )
 
@@ -128,29 +131,9 @@ def _(load):
     )
 
 
-_SUBCATEGORY = """CASE
- WHEN o = 'Restaurant & Bar' AND a < 1 THEN 'Unknown'
- WHEN o = 'Restaurant & Bar' AND a <= 40 THEN 'Breakfast' WHEN o = 'Restaurant & Bar' AND a <= 80 THEN 'Appetizer' WHEN o = 'Restaurant & Bar' AND a <= 120 THEN 'Dessert'
- WHEN o = 'Restaurant & Bar' AND a <= 160 THEN 'Pasta' WHEN o = 'Restaurant & Bar' AND a <= 200 THEN 'Extra For Pasta' WHEN o = 'Restaurant & Bar' AND a <= 240 THEN 'Pizza'
- WHEN o = 'Restaurant & Bar' AND a <= 280 THEN 'Easy Bite' WHEN o = 'Restaurant & Bar' AND a <= 1000 THEN 'Main Course'
- WHEN o = 'Restaurant & Bar' AND a <= 2999 THEN CASE WHEN a // 10 = 100 THEN 'Coffee' WHEN a // 10 = 104 THEN 'Tea' WHEN a // 10 = 108 THEN 'Softdrink' WHEN a // 10 = 112 THEN 'Mineral Water'
-   WHEN a // 10 = 114 THEN 'Juice' WHEN a // 10 = 118 THEN 'Mocktail' WHEN a // 10 = 122 THEN 'Mixer' WHEN a // 10 = 200 THEN 'Beer' WHEN a // 10 BETWEEN 204 AND 208 THEN 'Cocktail'
-   WHEN a // 10 BETWEEN 210 AND 215 THEN 'Shoot' WHEN a // 100 = 22 THEN 'Bottle' ELSE 'Beverages' END
- WHEN o = 'Restaurant & Bar' THEN CASE WHEN starts_with(t, '23') THEN 'Promo' WHEN starts_with(t, '30') THEN 'Cigarette' WHEN starts_with(t, '31') THEN 'Miscellaneous'
-   WHEN starts_with(t, '35') AND a NOT IN (3514, 3515, 3516) THEN 'Merchandise' WHEN starts_with(t, '40') THEN 'Soju' WHEN starts_with(t, '69') THEN 'Compliment Cake'
-   WHEN starts_with(t, '891') THEN 'Discount' WHEN starts_with(t, '98') THEN 'Compliment' WHEN starts_with(t, '990') THEN 'Cash' WHEN starts_with(t, '991') THEN 'Voucher'
-   WHEN starts_with(t, '993') THEN 'Credit Card' WHEN starts_with(t, '995') THEN 'City Ledger' ELSE 'Others' END
- WHEN o = 'Room Service' THEN CASE WHEN a BETWEEN 1 AND 10 THEN 'Dessert' WHEN a BETWEEN 40 AND 49 THEN 'Pasta' WHEN a BETWEEN 121 AND 129 THEN 'Pizza' WHEN a BETWEEN 160 AND 199 THEN 'Snack'
-   WHEN a BETWEEN 200 AND 499 THEN 'Main Course' WHEN a BETWEEN 500 AND 599 THEN 'Beer' WHEN a BETWEEN 600 AND 699 THEN 'Cocktail' WHEN a BETWEEN 700 AND 799 THEN 'Canned'
-   WHEN a BETWEEN 800 AND 899 THEN 'Water' WHEN a BETWEEN 900 AND 999 THEN 'Coffee' WHEN a BETWEEN 1000 AND 1099 THEN 'Mocktail' WHEN a BETWEEN 1100 AND 1199 THEN 'Tea'
-   WHEN a BETWEEN 1200 AND 1299 THEN 'Juice' WHEN a BETWEEN 2000 AND 2999 THEN 'Bottle' WHEN a BETWEEN 3000 AND 3099 THEN 'Promo' ELSE 'Others' END
- WHEN o = 'Banquet' THEN CASE a WHEN 3 THEN 'Room Rental' WHEN 4 THEN 'Coffee Break' WHEN 5 THEN 'Lunch' WHEN 6 THEN 'Dinner' ELSE 'Other' END
- ELSE 'Unknown' END"""
-
-
 @query("article_classes", f"""
 , n AS (SELECT line_no, outlet AS o, CAST(line_no % 10050 AS BIGINT) AS a, CAST(line_no % 10050 AS VARCHAR) AS t FROM fx_bills)
-SELECT line_no, o AS outlet, a AS article_number, {CATEGORY_SQL.format(o='o', a='a')} AS article_category, {_SUBCATEGORY} AS article_subcategory FROM n""", B)
+SELECT line_no, o AS outlet, a AS article_number, {CATEGORY_SQL.format(o='o', a='a')} AS article_category, {SUBCATEGORY_SQL} AS article_subcategory FROM n""", B)
 def _(load):
     n = load("fx_bills").select("line_no", "outlet", (F.col("line_no") % 10050).alias("article_number"))
     a, o = F.col("article_number"), F.col("outlet")
@@ -175,12 +158,11 @@ def _(load):
 
 
 @query("birth_dates_checked", """
-SELECT id, raw, CASE WHEN fmt IN (0, 4, 5, 12) AND y BETWEEN 1900 AND 1997 THEN make_date(y, m, d)
+SELECT id, raw, CASE WHEN fmt IN (0, 1, 2, 4, 5, 9, 12) AND y BETWEEN 1900 AND 1997 THEN make_date(y, m, d)
   WHEN fmt = 3 AND y BETWEEN 1900 AND 1997 THEN CASE WHEN d <= 12 THEN make_date(y, d, m) ELSE make_date(y, m, d) END END::VARCHAR AS birth_date
-FROM fx_stamps WHERE fmt IN (0, 3, 4, 5, 6, 7, 12, 13)""", S)
+FROM fx_stamps""", S)
 def _(load):
-    rows = load("fx_stamps").filter(F.col("fmt").isin(0, 3, 4, 5, 6, 7, 12, 13))
-    return rows.select("id", "raw", dates.sane_birth_date(F.col("raw"), 1997).alias("birth_date"))
+    return load("fx_stamps").select("id", "raw", dates.sane_birth_date(F.col("raw"), 1997).alias("birth_date"))
 
 
 @query("cells_scrubbed", """

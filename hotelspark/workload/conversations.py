@@ -56,10 +56,10 @@ def _(load):
 
 @query("insights_flattened", """
 SELECT conv_id, t AS insight_type, unnest(string_split(text, '.')) AS insight_content FROM conversations, (VALUES ('insight'), ('preference')) v(t)
-WHERE role = 'assistant' UNION ALL SELECT conv_id, 'pattern', text FROM conversations WHERE role = 'assistant' AND turn % 2 = 0""")
+UNION ALL SELECT conv_id, 'pattern', text FROM conversations WHERE turn % 2 = 0""")
 def _(load):
     parts = F.split("text", r"\.")
-    digests = load("conversations").filter("role = 'assistant'").select(
+    digests = load("conversations").select(
         "conv_id", parts.alias("insights"), F.when(F.col("turn") % 2 == 0, F.array("text")).alias("patterns"), parts.alias("preferences")
     )
     return sessions.flatten_insights(digests, "conv_id")

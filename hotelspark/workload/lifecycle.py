@@ -47,10 +47,13 @@ def _(load):
     return lifecycle.soft_delete_upload(_tables(load), _ledger(load), 2, F.lit(_NOW).cast("timestamp_ntz"))[1]
 
 
-@query("deleted_rows_purged", "SELECT id, version, ingested_at::VARCHAR AS ingested_at FROM fx_versions WHERE deleted_at IS NULL", V)
+@query("deleted_rows_purged", """
+SELECT 'reservation' AS table_name, id, version, ingested_at::VARCHAR AS ingested_at FROM fx_versions WHERE deleted_at IS NULL
+UNION ALL SELECT 'profile_guest', id, version, ingested_at::VARCHAR FROM fx_versions WHERE deleted_at IS NULL AND user_id % 2 = 0""", V)
 def _(load):
     kept, _, _ = lifecycle.purge_deleted(_tables(load), _ledger(load))
-    return kept["reservation"].select("id", "version", "ingested_at")
+    parts = [df.select(F.lit(name).alias("table_name"), "id", "version", "ingested_at") for name, df in kept.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query("purge_counts", """
@@ -91,20 +94,20 @@ def _(load):
 
 
 @query("processed_rows_merged", """
-, t AS (SELECT user_id, event_type, arg_max(id, id) AS id, arg_max(value, id) AS value FROM (SELECT user_id, event_type, id, COALESCE(value, -1) AS value FROM fx_versions WHERE csv_upload_id = 0 AND event_type IS NOT NULL) GROUP BY 1, 2),
-b AS (SELECT user_id, event_type, id, COALESCE(value, -1) AS value FROM fx_versions WHERE csv_upload_id = 1),
-l AS (SELECT user_id, event_type, arg_max(id, id) AS id, arg_max(value, id) AS value FROM b WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2)
+, t AS (SELECT user_id, event_type, arg_max(id, id) AS id, arg_max(value, id) AS value, arg_max(up, id) AS up FROM (SELECT user_id, event_type, id, COALESCE(value, -1) AS value, csv_upload_id::BIGINT AS up FROM fx_versions WHERE csv_upload_id < 2 AND event_type IS NOT NULL) GROUP BY 1, 2),
+b AS (SELECT user_id, event_type, id, COALESCE(value, -1) AS value, csv_upload_id::BIGINT AS up FROM fx_versions WHERE csv_upload_id >= 2),
+l AS (SELECT user_id, event_type, arg_max(id, id) AS id, arg_max(value, id) AS value, arg_max(up, id) AS up FROM b WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2)
 SELECT COALESCE(l.user_id, t.user_id) AS user_id, COALESCE(l.event_type, t.event_type) AS event_type, COALESCE(l.id, t.id) AS id, COALESCE(l.value, t.value) AS value,
-  CASE WHEN l.id IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS last_upload_id FROM t FULL JOIN l ON l.user_id = t.user_id AND l.event_type = t.event_type
-UNION ALL SELECT user_id, event_type, id, value, 1 FROM b WHERE user_id IS NULL OR event_type IS NULL""", V)
+  COALESCE(l.up, t.up) AS last_upload_id FROM t FULL JOIN l ON l.user_id = t.user_id AND l.event_type = t.event_type
+UNION ALL SELECT user_id, event_type, id, value, up FROM b WHERE user_id IS NULL OR event_type IS NULL""", V)
 def _(load):
     rows = load("fx_versions").select(
         "user_id", "event_type", "id", F.coalesce("value", F.lit(-1.0)).alias("value"), F.col("csv_upload_id").cast("bigint").alias("last_upload_id")
     )
-    target = rows.filter("last_upload_id = 0 AND event_type IS NOT NULL").groupBy("user_id", "event_type").agg(
+    target = rows.filter("last_upload_id < 2 AND event_type IS NOT NULL").groupBy("user_id", "event_type").agg(
         F.max(F.struct("id", "value", "last_upload_id")).alias("r")
     ).select("user_id", "event_type", "r.*")
-    return lifecycle.upsert_processed(target, rows.filter("last_upload_id = 1"), ["user_id", "event_type"])
+    return lifecycle.upsert_processed(target, rows.filter("last_upload_id >= 2"), ["user_id", "event_type"])
 
 
 @query("guests_matched", """

@@ -79,7 +79,7 @@ def _(load):
 @query("latest_versions", """
 SELECT user_id, id, csv_upload_id::BIGINT AS csv_upload_id, version FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY version DESC, csv_upload_id DESC) AS rn FROM (
-    SELECT user_id, id, csv_upload_id, CASE WHEN csv_upload_id > 1 THEN version // 2 ELSE version END AS version, id AS tie FROM fx_versions WHERE csv_upload_id IN (0, 1, 3)))
+    SELECT user_id, id, csv_upload_id, CASE WHEN csv_upload_id > 1 THEN version // 2 ELSE version END AS version, id AS tie FROM fx_versions))
 WHERE rn = 1""", ("fx_versions",))
 def _(load):
     rows = load("fx_versions").select(
@@ -87,7 +87,7 @@ def _(load):
         F.when(F.col("csv_upload_id") > 1, F.expr("version div 2")).otherwise(F.col("version")).alias("version"),
         F.col("ingested_at"),
     )
-    out = upsert.upsert_frames(rows.filter("csv_upload_id < 2"), rows.filter("csv_upload_id = 3"), key="user_id")
+    out = upsert.upsert_frames(rows.filter("csv_upload_id < 2"), rows.filter("csv_upload_id >= 2"), key="user_id")
     return out.select("user_id", "id", "csv_upload_id", "version")
 
 

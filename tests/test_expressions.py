@@ -45,7 +45,9 @@ def test_timestamps_do_not_depend_on_session_zone(spark):
 def test_export_dates(spark):
     cases = {
         "2024-05-01": "2024-05-01", "05/01/2024": "2024-01-05", "05-25-2024": "2024-05-25", "1.2.2024 00:00": "2024-02-01",
-        "05/01/24": "2024-01-05", "5 Jan 2024": "2024-01-05", "09-03-1995 12:00:00": "1995-03-09", "x": None, None: None,
+        "05/01/24": "2024-01-05", "5 Jan 2024": "2024-01-05", "09-03-1995 12:00:00": "1995-03-09", "x": None,
+        "05 January 2024": "2024-01-05", "5-Jan-24": "2024-01-05", "20240105": "2024-01-05", "2024-01-05T10:20:30.123456Z": "2024-01-05",
+        "Jan 5, 2024": "2024-01-05", "5 Sept 2024": "2024-09-05", "31 Feb 2024": None, "2024-01-05 10:20:30+09:30": "2024-01-05", "May 2024": None, None: None,
     }
     assert values(spark, list(cases), dates.export_date_text) == list(cases.values())
 
