@@ -291,7 +291,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, widths: tuple[int, ...] = WID
     Texts are UTF-8 bytes, whole; null or shorter texts have no window. Repeated rows repeat all their windows.
     """
     anchors = _anchors(docs, length, widths[0])
-    often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # Settled, so that each join below has two plain shuffles, whose hot keys Spark can split.
+    often = settled(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     places = settled(anchors.join(often, "anchor"))
     runs = settled(places.groupBy("anchor", "run").agg(
         F.count(F.lit(1)).alias("number"), F.min(F.struct("k0", "k1", "at", "more", "lead")).alias("one")).select("anchor", "run", "number", "one.*"))
@@ -314,7 +315,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, widths: tuple[int, ...] = WID
         if not narrow or rest.isEmpty():
             break
         parts = settled(_cut_again(rest, width, narrow))
-    of_run = found.groupBy("anchor", "run").agg(F.flatten(F.collect_list("found")).alias("found"))
+    of_run = settled(found.groupBy("anchor", "run").agg(F.flatten(F.collect_list("found")).alias("found")))
     return places.join(of_run, ["anchor", "run"]).select(
         "k0", "k1", F.expr("transform(found, x -> struct(x.a + at as a, x.b + at as b))").alias("found")
     ).groupBy("k0", "k1").agg(F.flatten(F.collect_list("found")).alias("found"))
