@@ -84,7 +84,7 @@ def _packets(buckets: np.ndarray, chunk: int, *columns: np.ndarray) -> pa.Record
     """One row per bucket: the bucket, the chunk, and the bytes of its part of each column."""
     order = np.argsort(buckets, kind="stable")
     which, start = np.unique(buckets[order], return_index=True)
-    ends = np.append(start[1:], len(order))
+    ends = np.append(start[1:], len(order))[: len(start)]
     packed = [pa.array([c[order[a:b]].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary()) for c in columns]
     return pa.RecordBatch.from_arrays(
         [pa.array(which.astype(np.int32)), pa.array(np.full(len(which), chunk, dtype=np.int32)), *packed],
