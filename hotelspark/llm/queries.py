@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from hotelspark.llm import ann, caps, language, mixing, packing, quality, sharding, simhash, substrings, suffixes
 from hotelspark.llm.common import table
+from hotelspark.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +62,3 @@ def op10_prefix_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_virtual_slots, op2_learned_partitions, op3_quadratic_discriminant, op4_byte_position_simhash, op5_sum_of_squares_packing,
     op6_spherical_caps, op7_columnwise_suffixes, op8_hyperdimensional_language, op9_fixed_block_anchors, op10_prefix_sum_mixing)}
-
-ORACLES: dict[str, str] = {}
