@@ -98,23 +98,20 @@ def room_night_aggregate(df: DataFrame, start, end, group_by: str = "none", filt
     Columns: is_total, key, measures. The total row is told by ``is_total``, never by a null key, and is
     present (with zeros) even when nothing matches. Blank keys count in the total but get no row.
     """
-    stays = dimension_filters(df, filters).withColumn("key", group_key(group_by))
-    per_key = spans(stays, start, end, F.col("key")).groupBy("key").agg(
-        F.sum(F.col("rates") * F.col("days")).alias("revenue"),
-        F.sum(F.col("rated") * F.col("days")).alias("rated"),
-        F.sum(F.col("stays") * F.col("days")).alias("sold"),
-    )
-    pairs = clip_stays(stays, start, end).select("key", "reservation_id").distinct()
-    sums = [F.sum(c).alias(c) for c in ("revenue", "rated", "sold")]
-    bookings = pairs.agg(F.countDistinct("reservation_id")).scalar()
-    # A global aggregate gives its row even when nothing matches, which a rollup would not.
-    rows = per_key.agg(*sums).select(
-        F.lit(True).alias("is_total"), F.lit(None).cast("string").alias("key"), "revenue", "rated", "sold", bookings.alias("bookings")
-    )
-    if group_by != "none":
-        booked = pairs.groupBy("key").agg(F.count("reservation_id").alias("bookings"))
-        groups = per_key.filter(F.trim("key") != "").join(booked, "key", "left")
-        rows = rows.unionByName(groups.withColumn("is_total", F.lit(False)))
+    stays = clip_stays(dimension_filters(df, filters).withColumn("key", group_key(group_by)), start, end)
+    days = F.datediff("last_day", "first_day") + 1
+    measured = stays.select(
+        "key", "reservation_id", (F.col("room_rate") * days).alias("revenue"), F.when(F.col("room_rate").isNotNull(), days).alias("rated"), days.alias("sold"))
+    # One row that adds nothing lets the total appear even when nothing matches.
+    nothing = df.sparkSession.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in measured.dtypes])
+    sums = [F.sum(c).alias(c) for c in ("revenue", "rated", "sold")] + [F.countDistinct("reservation_id").alias("bookings")]
+    rows = measured.unionByName(nothing)
+    if group_by == "none":
+        rows = rows.agg(*sums).select(F.lit(True).alias("is_total"), F.lit(None).cast("string").alias("key"), "*")
+    else:
+        # Groups and total come out of one pass over the stays.
+        rows = rows.groupingSets([["key"], []], "key").agg(F.grouping("key").alias("all"), *sums)
+        rows = rows.withColumn("is_total", F.col("all") == 1).filter((F.col("all") == 1) | (F.trim("key") != ""))
     return rows.select(
         "is_total", "key",
         F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue_sum"),

@@ -369,6 +369,21 @@ def _(load):
     return contacts.duplicate_groups(load("fx_profiles"))
 
 
+_TWO_CHATS = "CASE WHEN starts_with(chats, '+') THEN CAST(1 + id // 1000 % 2 AS INT) ELSE 1 END AS csv_upload_id, 'P' || CAST(id // 1000 % 7 AS VARCHAR) AS name"
+
+
+# Staff names are seen in the first upload only, so its guests of these names go and those of the second stay.
+@query("guest_chats_of_two_uploads", f"""
+, c AS (SELECT id, chats, {_TWO_CHATS} FROM fx_chats),
+names AS (SELECT DISTINCT csv_upload_id, name FROM c WHERE NOT COALESCE(starts_with(chats, '+'), FALSE))
+SELECT id, csv_upload_id::BIGINT AS csv_upload_id, chats, name FROM c
+WHERE NOT EXISTS (SELECT 1 FROM names n WHERE n.csv_upload_id = c.csv_upload_id AND (n.name IS NOT DISTINCT FROM c.name OR n.name IS NOT DISTINCT FROM c.chats))""", C)
+def _(load):
+    chats = load("fx_chats").select("id", "chats", *[F.expr(x) for x in (
+        "CASE WHEN startswith(chats, '+') THEN CAST(1 + id div 1000 % 2 AS INT) ELSE 1 END AS csv_upload_id", "'P' || CAST(id div 1000 % 7 AS STRING) AS name")])
+    return contacts.drop_group_chats(chats).select("id", "csv_upload_id", "chats", "name")
+
+
 @query("duplicate_guest_candidates", """
 SELECT id::BIGINT AS id, name, birth_date FROM fx_profiles WHERE name LIKE '%Customer%' AND birth_date = '1950-02-03' ORDER BY id LIMIT 20""", P)
 def _(load):
@@ -428,18 +443,30 @@ SUBCATEGORY_SQL = """CASE
  ELSE 'Unknown' END"""
 
 
-@query("bills_consolidated", MERGED_SQL + _GROUPED + f"""
+_CONSOLIDATED = MERGED_SQL + _GROUPED + f"""
 SELECT g.outlet, g.bill_number, g.article_number::BIGINT AS article_number, g.quantity, g.sales::DOUBLE AS sales, g.payment::DOUBLE AS payment, g.description,
   g.prev_bill_number, g.transaction_date::VARCHAR AS transaction_date, COALESCE(d.bill_discount, 0)::DOUBLE AS bill_discount,
   COALESCE(d.bill_compliment, 0)::DOUBLE AS bill_compliment, (COALESCE(d.bill_discount, 0) + COALESCE(d.bill_compliment, 0))::DOUBLE AS total_deduction,
   {CATEGORY_SQL.format(o='g.outlet', a='g.article_number')} AS article_category,
   (SELECT {SUBCATEGORY_SQL} FROM (SELECT g.outlet AS o, g.article_number AS a, CAST(g.article_number AS VARCHAR) AS t)) AS article_subcategory
 FROM grouped g LEFT JOIN deducted d ON d.outlet = g.outlet AND d.bill_number = g.bill_number
-WHERE NOT (CAST(article_number AS VARCHAR) LIKE '891%' OR article_number BETWEEN 9801 AND 9899) AND NOT (g.quantity = 0 AND g.sales = 0 AND g.payment = 0)""", B)
+WHERE NOT (CAST(article_number AS VARCHAR) LIKE '891%' OR article_number BETWEEN 9801 AND 9899) AND NOT (g.quantity = 0 AND g.sales = 0 AND g.payment = 0)"""
+
+
+@query("bills_consolidated", _CONSOLIDATED, B)
 def _(load):
     return bills.consolidate_bills(load("fx_bills"))
 
 
+# Two uploads with the same bill numbers, and the second with twice the quantity: nothing is added up across them.
+@query("bills_of_two_uploads", _CONSOLIDATED.replace("\nSELECT g.outlet", "\nSELECT u.n AS csv_upload_id, g.outlet").replace(
+    "g.quantity, g.sales", "g.quantity * u.n AS quantity, g.sales").replace("FROM grouped g LEFT", "FROM (VALUES (1::BIGINT), (2::BIGINT)) u(n) CROSS JOIN grouped g LEFT"), B)
+def _(load):
+    lines = load("fx_bills")
+    uploads = [lines.withColumns({"csv_upload_id": F.lit(n), "quantity": F.col("quantity") * n}) for n in (1, 2)]
+    return bills.consolidate_bills(uploads[0].unionByName(uploads[1]))
+
+
 @query("bill_deductions", """
 , merged AS (SELECT *, bill_number AS prev_bill_number FROM fx_bills)""" + _GROUPED + """
 SELECT g.outlet, g.bill_number, g.article_number::BIGINT AS article_number, COALESCE(d.bill_discount, 0)::DOUBLE AS bill_discount,

@@ -76,6 +76,15 @@ def _(load):
     )
 
 
+@query("amounts_of_many_digits", """
+SELECT o_orderkey AS id, CAST(CAST(o_orderkey % 9000 AS VARCHAR) || '000000000000.25' AS DECIMAL(18,2))::DOUBLE AS amount,
+  -CAST(CAST(o_orderkey % 9000 AS VARCHAR) || '000000000000.25' AS DECIMAL(18,2))::DOUBLE AS cell_amount FROM orders""")
+def _(load):
+    raw = F.concat((F.col("o_orderkey") % 9000).cast("string"), F.lit("000000000000.25"))
+    return load("orders").select(F.col("o_orderkey").alias("id"), numbers.money(F.concat(F.lit("Rp "), raw)).alias("amount"),
+                                 numbers.export_amount(F.concat(F.lit("("), raw, F.lit(")"))).alias("cell_amount"))
+
+
 _PHONE = "CASE c_custkey % 6 WHEN 0 THEN '0812-' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN '+62 (81) ' || CAST(c_custkey AS VARCHAR) " \
          "WHEN 2 THEN '62811' || CAST(c_custkey AS VARCHAR) WHEN 3 THEN '812' || CAST(c_custkey AS VARCHAR) WHEN 4 THEN '0' ELSE 'N/A' END"
 
@@ -120,6 +129,14 @@ def _(load):
     return load("fx_reservations").select("id", made.alias("made"))
 
 
+@query("guest_ids_of_long_names", """
+SELECT id, repeat('CUSTOMER_' || substr(guest_name, 10) || '_', 5) || room_number || '_' || strftime(arrival_date, '%Y%m%d') AS made FROM fx_reservations""", R)
+def _(load):
+    long = F.repeat(F.concat("guest_name", F.lit(" ")), 5)
+    made = ids.stay_guest_id(F.lit(None).cast("string"), F.trim(long), F.col("room_number"), F.col("arrival_date").cast("string"), F.col("csv_upload_id"), F.col("id"))
+    return load("fx_reservations").select("id", made.alias("made"))
+
+
 @query("room_and_age_labels", """
 SELECT id, room_type, CASE WHEN room_type = 'FSX' THEN 'Family Suite' WHEN room_type = 'DLX' THEN 'Deluxe' WHEN room_type IN ('EXE', 'JNR') THEN 'Executive Suite'
   WHEN room_type = 'BZ' THEN 'Suite' ELSE '' END AS described, age::BIGINT AS age,

@@ -35,6 +35,12 @@ def _(load):
     return sessions.parse_transcripts(_message_json(load), order=("id",))
 
 
+@query("transcript_of_one_long_session", f"""
+SELECT id, 'all' AS session_id, run_id, {_ROLE} AS role, {_CONTENT} AS content FROM fx_messages""", M)
+def _(load):
+    return sessions.parse_transcripts(_message_json(load).withColumn("session_id", F.lit("all")), order=("id",))
+
+
 @query("transcript_of_latest_session", f"""
 SELECT id, session_id, run_id, {_ROLE} AS role, {_CONTENT} AS content FROM fx_messages WHERE session_id = (SELECT session_id FROM fx_messages ORDER BY id DESC LIMIT 1)""", M)
 def _(load):

@@ -242,6 +242,13 @@ def _(load):
         FROM datamart_reservations WHERE arrival_date < DATE '1998-01-01' GROUP BY room_type_desc;""")
 
 
+@query("adhoc_sql_of_all_lines", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity::DOUBLE AS l_quantity FROM lineitem")
+def _(load):
+    lines = load("lineitem")
+    readonly.register_marts({"lines": lines})
+    return readonly.run_readonly_sql(lines.sparkSession, "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS l_quantity FROM datamart_lines")
+
+
 @query("adhoc_sql_as_text", """
 , t AS (SELECT nationality, count(*)::BIGINT AS stays FROM fx_reservations GROUP BY nationality)
 SELECT nationality || ' | ' || stays::VARCHAR AS line FROM t""", R)

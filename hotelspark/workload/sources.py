@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hotelspark.schemas import REPORTS
 from hotelspark.sources import pages, uploads
+from hotelspark.sources.load import load_rows
 from hotelspark.streaming import cdc, upsert
 from hotelspark.workload.registry import query
 
@@ -110,3 +111,14 @@ SELECT page_id, length(text)::BIGINT AS chars, CASE WHEN length(text) > 5000 THE
 def _(load):
     text = load("pages").select("page_id", pages.page_text(F.col("html"), None).alias("whole"), pages.page_text(F.col("html"), 5000).alias("text"))
     return text.select("page_id", F.length("whole").alias("chars"), "text")
+
+
+@query("rows_loaded_of_accepted_uploads", """
+SELECT (10 + r_regionkey) * 4294967296 + b.ps AS id, (10 + r_regionkey)::BIGINT AS csv_upload_id, b.ps AS line_no, b.name, '2024-01-01 00:00:00' AS created_at
+FROM (SELECT c_custkey::BIGINT AS ps, c_name AS name, c_custkey % 5 AS f FROM customer) b JOIN region ON r_regionkey = b.f WHERE r_regionkey < 3""")
+def _(load):
+    rows = load("customer").select(F.concat(F.lit("/exports/"), (F.col("c_custkey") % 5).cast("string")).alias("source_file"),
+                                   F.col("c_custkey").cast("bigint").alias("line_no"), F.col("c_name").alias("name"))
+    accepted = load("region").filter("r_regionkey < 3").select(
+        F.concat(F.lit("/exports/"), F.col("r_regionkey").cast("string")).alias("path"), (F.col("r_regionkey") + 10).alias("csv_upload_id"))
+    return load_rows(rows, accepted, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).drop("deleted_at")

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from hotelspark.operators import bills
 from hotelspark.operators.components import component_max
 
@@ -74,3 +76,11 @@ def test_raw_rows_hold_cents_and_payment_equals_sales(spark):
     df = spark.createDataFrame([line(1, "Banquet", 1, 2, "x", sales="10.25", pay="1.00")], LINES)
     row = bills.bill_rows(df).first()
     assert (row.sales, row.payment, row.bill_number, row.item_name) == (1025, 1025, "1", "x")
+
+
+def test_uploads_are_not_added_up(spark):
+    rows = [line(1, "Banquet", 10, 4, "Coffee", 1, "6.00"), line(1, "Banquet", 10, 4, "Coffee", 1, "6.00")]
+    df = spark.createDataFrame(rows, LINES)
+    both = df.limit(1).withColumn("source_file", F.lit("a")).unionByName(df.limit(1).withColumn("source_file", F.lit("b")))
+    assert [(r.quantity, r.sales) for r in bills.consolidate_bills(both).collect()] == [(1, Decimal("6.00"))] * 2
+    assert [(r.quantity, r.sales) for r in bills.consolidate_bills(both, scope=["outlet"]).collect()] == [(2, Decimal("12.00"))]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hotelspark.operators import clean, contacts, lifecycle, lookups, rooms, sessions
 from hotelspark.sources import pages, uploads
+from hotelspark.sources.load import load_rows
 
 
 def test_group_chats_with_missing_names(spark):
@@ -174,3 +175,36 @@ def test_standardised_profiles(spark):
     r = rows[0]
     # The phone is kept but makes no id: only a mobile number does.
     assert (r.name, r.email, r.phone, r.city, r.address, r.guest_id) == ("BUDI SANTOSO", None, "0812", "x, y", "JL. A", "BUDI_SANTOSO_1")
+
+
+def test_staff_of_one_upload_are_guests_of_another(spark):
+    df = spark.createDataFrame([
+        (1, "Staff", "Ann", "a.csv"), (2, "+62", "Ann", "a.csv"), (3, "+63", "Ann", "b.csv"), (4, "Ann", "Bob", "b.csv"),
+    ], "id int, chats string, name string, source_file string")
+    assert {r.id for r in contacts.drop_group_chats(df).collect()} == {3}
+
+
+def test_one_of_two_files_with_one_name_and_content(spark):
+    files = spark.createDataFrame([("a.csv", "reservation", b"one", "/x/a.csv"), ("a.csv", "reservation", b"one", "/y/a.csv")],
+                                  "filename string, file_type string, content binary, path string")
+    ledger = spark.createDataFrame([], "file_hash string, status string")
+    assert sorted(r.status for r in uploads.register_uploads(files, ledger).collect()) == ["PROCESSING", "REJECTED"]
+    assert sorted(r.status for r in uploads.register_uploads(files.drop("path"), ledger).collect()) == ["PROCESSING", "REJECTED"]
+
+
+def test_named_references(spark):
+    df = spark.createDataFrame([(1, "<p>Caf&eacute; &pound;5 &unknown; &amp;lt; &lt;b&gt; &#233;</p>")], "page_id int, html string")
+    assert pages.html_to_text(df).first().text == "Café £5 &unknown; &lt; <b> é"
+
+
+def test_rows_of_a_long_session_all_come(spark):
+    df = spark.range(700).selectExpr("id", "'s' AS session_id", "id AS created_at", """'{"role": "user", "content": "x"}' AS message_data""")
+    assert sessions.parse_transcripts(df).count() == 700
+
+
+def test_loaded_rows_are_stamped(spark):
+    rows = spark.createDataFrame([("/a", 3, "x"), ("/b", 3, "y"), ("/c", 4, "z")], "source_file string, line_no long, name string")
+    accepted = spark.createDataFrame([("/a", 1), ("/b", 2)], "path string, csv_upload_id int")
+    got = load_rows(rows, accepted, F.lit("2024-01-01").cast("timestamp"))
+    assert got.columns == ["id", "csv_upload_id", "line_no", "name", "created_at", "deleted_at"]
+    assert {(r.id, r.csv_upload_id, r.name) for r in got.collect()} == {((1 << 32) + 3, 1, "x"), ((2 << 32) + 3, 2, "y")}
