@@ -116,7 +116,8 @@ def rollback_upload(processed: DataFrame, raw: DataFrame, upload_id: int, keys:
     values = [c for c in processed.columns if c not in (*keys, upload)]
     touched = F.coalesce(F.col(upload) == upload_id, F.lit(False))
     others = raw.filter(F.col("csv_upload_id") != upload_id)
-    newest = others.groupBy(*keys).agg(
+    # Only the raw rows of keys that the upload wrote last are needed.
+    newest = others.join(processed.filter(touched).select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(
         F.max_by(F.struct(*[F.col(c) for c in values], F.col("csv_upload_id").alias(upload)),
                  F.struct("csv_upload_id", id)).alias("_prev")
     )

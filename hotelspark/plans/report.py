@@ -28,22 +28,23 @@ def top_n_with_other(df: DataFrame, key: str, measure: str, n: int, include_othe
                      sums: tuple[str, ...] | None = None) -> DataFrame:
     """The n largest rows by measure (ties by key) and, on request, one 'Other' row summing the rest.
 
-    ``df`` has one row per key. The head is a bounded top-k, so nothing is sorted in a single task; the tail
-    is found by an anti join with those n rows. Columns outside ``sums`` are null in the 'Other' row.
+    ``df`` has one row per key. The head is a bounded top-k, so nothing is sorted in a single task, and its last row
+    tells the other rows apart without a join. Columns outside ``sums`` are null in the 'Other' row.
     """
     head = df.orderBy(F.col(measure).desc(), F.col(key)).limit(n)
     if not include_other:
         return head
-    sums = sums or tuple(c for c, t in df.dtypes if c != key and t != "string")
-    # n rows of one column: bounded by the parameter, whatever the size of the data.
-    chosen = F.broadcast(head.select(F.col(key).alias("_k")))
-    tail = df.join(chosen, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
-    other = tail.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).cast(dict(df.dtypes)[c]).alias(c) for c in sums])
-    other = other.filter("_n > 0").withColumn(key, F.lit("Other"))
     kinds = dict(df.dtypes)
-    return head.unionByName(other.select(*[
-        F.col(c) if c in (*sums, key) else F.lit(None).cast(kinds[c]).alias(c) for c in df.columns
-    ]))
+    sums = sums or tuple(c for c, t in df.dtypes if c != key and t != "string")
+    # Grows with the rank; a missing measure stands last.
+    rank = F.struct(F.col(measure).isNull().alias("n"), (-F.col(measure)).alias("m"), F.col(key).alias("k"))
+    edge = head.agg(F.max(rank)).scalar()
+    is_head = F.coalesce(rank <= edge, F.lit(False))
+    marked = df.withColumn("_head", is_head)
+    grouped = marked.groupBy(F.when(F.col("_head"), F.col(key)).otherwise(F.lit("Other")).alias("_key"), "_head").agg(
+        *[F.sum(c).cast(kinds[c]).alias(c) for c in sums],
+        *[F.max(F.when(F.col("_head"), F.col(c))).alias(c) for c in df.columns if c not in (*sums, key)])
+    return grouped.withColumnRenamed("_key", key).select(*df.columns)
 
 
 def occupancy_report(
