@@ -108,7 +108,8 @@ def component_min(edges: DataFrame) -> DataFrame:
     seen = _edge_hash(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        # Settled, so that the join has two plain shuffles and Spark can split a node with very many neighbours.
+        low = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v")
