@@ -21,6 +21,8 @@ DIMENSIONS = 1024
 GRAM = 3
 #: N-gram vectors kept per task; the table is emptied when full, which costs time and changes nothing.
 KEPT_GRAMS = 16_384
+#: Texts of one language whose n-grams a task adds up before it binds them.
+TOGETHER = 256
 _FOLD = 1 << 21
 
 
@@ -103,12 +105,23 @@ def learn(docs: DataFrame, folds: int = 3, held: int = 1) -> dict[str, np.ndarra
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(folds, held)).select("lang", "text")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, sums = Space(), {}
+        space, sums, held = Space(), {}, {}
+
+        def bundle(lang: str) -> None:
+            """Distinct n-grams of many texts are bound once: the sum of the texts' bundles is the bundle of their sum."""
+            grams, counts = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
+            grams, at = np.unique(grams, return_inverse=True)
+            sums[lang] = sums.get(lang, 0) + space.bundle(grams, np.bincount(at, weights=counts))
+
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 grams, counts = gram_counts(text.as_py())
                 if len(grams):
-                    sums[lang] = sums.get(lang, 0) + space.bundle(grams, counts)
+                    held.setdefault(lang, []).append((grams, counts))
+                    if len(held[lang]) >= TOGETHER:
+                        bundle(lang)
+        for lang in list(held):
+            bundle(lang)
         for lang, vector in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(vector)), pa.array(range(len(vector)), pa.int32()), pa.array(vector)], names=["lang", "at", "value"])
