@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotelspark.llm.common import row_key, tasks_for
-from hotelspark.llm.suffixes import BUFFER, Hashes, _mixed
+from hotelspark.llm.suffixes import BUFFER, Hashes, mixed
 
 WORDS = 13
 BLOCK = 7
@@ -65,7 +65,7 @@ class Rolled:
             turned = hashes[i:] if i == 0 else np.append(hashes[i:], np.zeros(i, dtype=np.uint64))
             total = (total ^ turned) * np.uint64(_BASES[1])
             total ^= total >> np.uint64(32)
-        self.hash = _mixed(total[self.word])
+        self.hash = mixed(total[self.word])
 
 
 def _dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:

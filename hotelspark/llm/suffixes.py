@@ -61,7 +61,7 @@ def _kept_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
@@ -77,13 +77,13 @@ class Hashes:
         np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers[: len(buffer)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[stop] - self.sums[start]) * self.inverse[start])
+        return mixed((self.sums[stop] - self.sums[start]) * self.inverse[start])
 
     def rolling(self, size: int) -> np.ndarray:
         """Hashes of all stretches of one size."""
         sums = self.sums[size:] - self.sums[: len(self.sums) - size]
         sums *= self.inverse[: len(sums)]
-        return _mixed(sums)
+        return mixed(sums)
 
 
 def anchored_runs(texts: list[bytes], length: int, width: int) -> tuple[np.ndarray, ...]:
@@ -113,7 +113,7 @@ def anchored_runs(texts: list[bytes], length: int, width: int) -> tuple[np.ndarr
     last = np.append(first[1:], len(place)) - 1
     s0, s1, at, text = window[first], window[last], place[first], text[first]
     around = Hashes(buffer, _BASES[1]).of(s0, s1 + length)
-    around = _mixed(around + (at - s0).astype(np.uint64) * np.uint64(0x100000001B3) + (s1 - s0).astype(np.uint64))
+    around = mixed(around + (at - s0).astype(np.uint64) * np.uint64(0x100000001B3) + (s1 - s0).astype(np.uint64))
     return text, grams[at].view(np.int64), around.view(np.int64), s0 - starts[text], s1 - s0, at - s0
 
 
