@@ -38,7 +38,7 @@ AROUND = 256
 #: Strings of a collection, cores kept whole.
 COLLECTION = 512
 #: Bytes of texts whose anchors are sought at once.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _SPAN = "array<struct<a:int,b:int>>"
