@@ -72,6 +72,35 @@ def test_decoding_lists_all_directions_in_the_margin():
     assert [(r, w) for r, w in zip(*np.nonzero(sums >= sums.max(axis=1, keepdims=True) - 0.2), strict=True)] == list(zip(row, word, strict=True))
 
 
+def pairs_at(cosine_, count, dims, kind, seed=6):
+    """Unit vectors and partners at a cosine whose difference lies in one component, one third, or anywhere."""
+    rng = np.random.default_rng(seed)
+    u, off = rng.standard_normal((count, dims)), rng.standard_normal((count, dims))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    if kind != "any":
+        width = 1 if kind == "component" else dims // 3
+        off *= (np.arange(dims) - rng.integers(0, dims, (count, 1))) % dims < width
+    off -= (off * u).sum(axis=1, keepdims=True) * u
+    return u, cosine_ * u + np.sqrt(1 - cosine_**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dims", [2, 9, 16, 64, 100])
+def test_lists_meet_whatever_the_difference(dims):
+    for kind in ("component", "block", "any") if dims > 2 else ("any",):
+        u, v = pairs_at(0.98, 1000, dims, kind)
+        (ru, wu), (rv, wv) = (caps.meeting_directions(x, 0.98) for x in (u, v))
+        assert {r for r, _ in set(zip(ru.tolist(), wu.tolist(), strict=True)) & set(zip(rv.tolist(), wv.tolist(), strict=True))} == set(range(1000))
+
+
+def test_links_close_to_the_cosine(spark):
+    data = []
+    for kind in ("component", "block"):
+        for u, v in zip(*pairs_at(0.98001, 3000, 16, kind), strict=True):
+            data += [(len(data), u.tolist(), len(data)), (len(data) + 1, v.tolist(), len(data))]
+    found = caps.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(i, 1, label) for i, _, label in data}
+
+
 @pytest.mark.parametrize("part_rows", [10_000, 60])
 def test_search(spark, monkeypatch, part_rows):
     monkeypatch.setattr(ann, "ROW_BLOCK", 40)
