@@ -143,13 +143,16 @@ def fit_router(sample: np.ndarray, parts: int, recall: float = RECALL) -> Router
 def search(rows: DataFrame, is_query, k: int = 5, part_rows: int = PART_ROWS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found rows by cosine of each row that satisfies ``is_query``.
 
-    A row is never its own neighbour, nor is a row with the same id. Ties go to the smaller id. Vectors that are null,
+    A row is never its own neighbour, nor is a row with the same id. Ties go to the smaller id. Repeated rows count once,
+    and an id that stands with several vectors is one neighbour, with its best score; as a query it has the ``k`` nearest
+    ids to any of its vectors. Vectors that are null,
     zero, of another length than most of the sample, or hold null or infinite components take no part, nor do rows
     without an id. The router is fitted on at most ``sample`` rows, drawn by hash; all rows are indexed. Parts and
     queries are dealt in blocks, so a part that draws a large share of the rows is compared in many tasks.
     """
     spark = rows.sparkSession
-    usable_rows = rows.filter(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding", is_query.alias("query"))
+    usable_rows = settled(rows.filter(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding", is_query.alias("query")).groupBy(
+        "vec_id", "embedding").agg(F.max("query").alias("query")))
     drawn = usable_rows.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(sample).select("embedding").toArrow().column("embedding")
     lengths = drawn.combine_chunks().value_lengths().to_numpy() if len(drawn) else np.zeros(0, dtype=int)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -177,7 +180,8 @@ def search(rows: DataFrame, is_query, k: int = 5, part_rows: int = PART_ROWS, sa
     dealt = stored.unionByName(asked).repartition(tasks_for(spark), *keys).sortWithinPartitions(*keys)
     near = dealt.mapInArrow(_ranker(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _ddl(df: DataFrame) -> str:
@@ -212,16 +216,22 @@ def _ranker(k: int):
 
 
 def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k nearest rows of each query. A fast product finds them with their near ties, whose cosines are then summed
-    in one fixed order, so equal vectors tie exactly."""
+    """The k nearest ids of each query, each with its best row. A fast product finds their rows with the near ties, whose
+    cosines are then summed in one fixed order, so equal vectors tie exactly."""
+    turn = np.argsort(ids, kind="stable")
+    ids, rows = ids[turn], rows[turn]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     rough = queries @ rows.T / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1))
     rough[query_ids[:, None] == ids] = -np.inf
-    least = -np.partition(-rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+    best, last = np.maximum.reduceat(rough, starts, axis=1), min(k, len(starts)) - 1
+    least = -np.partition(-best, last, axis=1)[:, last]
     q, r = np.nonzero((rough >= least[:, None] - 1e-12) & (rough > -np.inf))
     sizes = [np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (queries, rows)]
     scores = np.concatenate([np.einsum("ij,ij->i", queries[a], rows[b]) / (sizes[0][a] * sizes[1][b])
                              for a, b in zip(np.array_split(q, len(q) // 65536 + 1), np.array_split(r, len(r) // 65536 + 1), strict=True)])
-    turn = np.lexsort((ids[r], -scores, q))
+    turn = np.lexsort((-scores, ids[r], q))
+    turn = turn[np.append(True, (np.diff(q[turn]) != 0) | (np.diff(ids[r[turn]]) != 0))[: len(turn)]]
+    turn = turn[np.lexsort((ids[r[turn]], -scores[turn], q[turn]))]
     q, r, scores = q[turn], r[turn], scores[turn]
     place = np.arange(len(q)) - np.searchsorted(q, q)
     top = place < k

@@ -121,6 +121,23 @@ def test_search(spark, monkeypatch, part_rows):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("part_rows", [10_000, 60])
+def test_search_among_repeated_rows(spark, part_rows):
+    data = [r[:2] for r in rows() if usable(r) and len(r[1]) == 16]
+    nearest = [max((r for r in data if r[0] != q), key=lambda r: cosine(data[q][1], r[1])) for q in (7, 100, 160)]
+    data += nearest * 5 + [data[7]] * 4 + [(102, data[103][1]), (102, data[30][1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    found = ann.search(df, F.col("vec_id").isin(7, 100, 160), part_rows=part_rows, recall=1.0).collect()
+    for query in (7, 100, 160):
+        own, best = next(v for i, v in data if i == query), {}
+        for i, v in data:
+            if i != query:
+                best[i] = max(best.get(i, -2), round(cosine(own, v), 12))
+        want = sorted(best, key=lambda i: (-best[i], i))[:5]
+        got = [r.vec_id for r in sorted((r for r in found if r.query_id == query), key=lambda r: r.rank)]
+        assert len(set(got)) == 5 and (part_rows < 1000 or got == want)
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     found = ann.search(df, F.col("vec_id") == 0).collect()
