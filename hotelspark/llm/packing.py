@@ -8,6 +8,8 @@ bounded number, and each group is packed by itself, so no task sees more than it
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import sys
 import zlib
@@ -58,16 +60,26 @@ class Tokens:
     """Ids of whole texts under a byte-level BPE vocabulary, as little-endian 32-bit integers.
 
     The vocabulary's own splitting never joins two words over a single space, so texts are cut there, and each
-    distinct word is encoded once. Strings of special tokens in a text are ordinary text.
+    distinct word is encoded once. ``added`` gives the ids of the tokens that stand outside the merges: ``text_ids``
+    reads them wherever they stand in a text, while ``ids`` takes all of it as ordinary text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words = Words(self.encode)
+        self.added = {token: number.to_bytes(4, "little") for token, number in (added or {}).items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
+
+    def text_ids(self, text: str) -> bytes:
+        """Ids with the added tokens read; what stands between two of them is encoded by itself."""
+        if not any(token in text for token in self.added):
+            return self.ids(text)
+        return b"".join(self.added[part] if i % 2 else self.ids(part) for i, part in enumerate(self.marks.split(text)))
 
     def ids(self, text: str) -> bytes:
         first, *rest = text.split(" ")
@@ -83,19 +95,33 @@ class Tokens:
         return _packed(self.encode(text)) if text else b""
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """The added tokens of the JSON tokenizer of the same name beside a rank file; none if there is no such file."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if odd := [t["content"] for t in found if t["lstrip"] or t["rstrip"] or t["single_word"]]:
+        raise ValueError(f"added tokens that depend on their surroundings are not supported: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
 @lru_cache(maxsize=2)
 def tokens(ranks_path: str | None = None) -> Tokens:
     """The public 50k byte-level vocabulary unless another file of ranks is named; read once per Python worker."""
     import public_tokenizers
 
-    return Tokens(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return Tokens(path, public_tokenizers.PATTERN, added_tokens(path))
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, ranks_path: str | None = None) -> DataFrame:
     """(doc_id, k0, k1, piece, start, length, ids_crc32): the pieces of each document's ids and the end id.
 
     Documents of at most ``length`` ids are one piece. Longer ones are cut into pieces of exactly ``length``, of
-    which the first may be shorter. Null text counts as empty: its only id is the end.
+    which the first may be shorter. Null text counts as empty: its only id is the end. Added tokens of the vocabulary
+    that stand in a text, such as ``<|endoftext|>``, get their own ids.
     """
     rows = docs.select("doc_id", *row_key(), "text")
 
@@ -104,7 +130,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, ranks_path: str | None = None)
         for batch in batches:
             at, number, start, size, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                ids = known.ids(text.as_py() or "") + END.to_bytes(4, "little")
+                ids = known.text_ids(text.as_py() or "") + END.to_bytes(4, "little")
                 total = len(ids) // 4
                 edges = [0, *range(total % length or length, total + 1, length)]
                 for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -112,6 +112,18 @@ def test_ids_of_odd_texts(text):
     assert np.frombuffer(packing.tokens().ids(text), dtype="<u4").tolist() == tokenizer().encode(text, add_special_tokens=False).ids
 
 
+MARKED = ["see <|endoftext|> a b", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b ", "x  <|endoftext|>\n y z <|endoftext|", "<|endoftext|> a  b"]
+
+
+def test_added_tokens_have_their_ids(spark):
+    plain = tokenizer()
+    plain.encode_special_tokens = False
+    found = packing.pieces(spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")).collect()
+    want = [np.array([*plain.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for t in MARKED]
+    assert want[0].tolist() == [3826, 220, 50256, 257, 275, 0]
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in found} == {(i, len(ids), zlib.crc32(ids.tobytes())) for i, ids in enumerate(want)}
+
+
 def test_packing_of_hard_cases(spark):
     docs = cases.clashing(cases.documents(spark))
     encode = tokenizer()
