@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotelspark.llm import ann, caps, language, manifest, mixing, packing, quality, sharding, simhash, substrings, suffixes
+from hotelspark.llm import ann, caps, language, manifest, mixing, packing, quality, sharding, simhash, substrings, suffixes,
+                          toxicity
 from hotelspark.llm.common import table
 from hotelspark.llm.oracles import ORACLES
 
@@ -63,7 +64,13 @@ def op11_incremental_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, learned).select("doc_id", quality.held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_virtual_slots, op2_learned_partitions, op3_quadratic_discriminant, op4_byte_position_simhash, op5_sum_of_squares_packing,
     op6_spherical_caps, op7_columnwise_suffixes, op8_hyperdimensional_language, op9_fixed_block_anchors, op10_prefix_sum_mixing,
-    op11_incremental_witnesses)}
+    op11_incremental_witnesses, op13_weak_supervision)}
