@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotelspark.llm import ann, caps, language, manifest, mixing, packing, quality, sharding, simhash, substrings, suffixes,
-                          toxicity
+from hotelspark.llm import (
+    ann, caps, language, manifest, mixing, packing, quality, sharding, simhash, substrings, suffixes, toxicity,
+)
 from hotelspark.llm.common import table
 from hotelspark.llm.oracles import ORACLES
 
