@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotelspark.llm import (
-    ann, caps, language, manifest, mixing, packing, quality, sharding, simhash, substrings, suffixes, toxicity,
+    ann, caps, language, manifest, mixing, packing, quality, repair, sharding, simhash, substrings, suffixes, toxicity,
 )
 from hotelspark.llm.common import table
 from hotelspark.llm.oracles import ORACLES
@@ -65,6 +65,10 @@ def op11_incremental_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_lightest_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -74,4 +78,4 @@ def op13_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_virtual_slots, op2_learned_partitions, op3_quadratic_discriminant, op4_byte_position_simhash, op5_sum_of_squares_packing,
     op6_spherical_caps, op7_columnwise_suffixes, op8_hyperdimensional_language, op9_fixed_block_anchors, op10_prefix_sum_mixing,
-    op11_incremental_witnesses, op13_weak_supervision)}
+    op11_incremental_witnesses, op12_lightest_derivation, op13_weak_supervision)}
