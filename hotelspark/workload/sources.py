@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hotelspark.schemas import REPORTS
-from hotelspark.sources import pages, uploads
+from hotelspark.sources import pages, split_csv, uploads
 from hotelspark.sources.load import load_rows
 from hotelspark.streaming import cdc, upsert
+from hotelspark.session import ensure_checkpoint_dir
 from hotelspark.workload.registry import query
 
 _FILES_SQL = """
@@ -122,3 +125,27 @@ def _(load):
     accepted = load("region").filter("r_regionkey < 3").select(
         F.concat(F.lit("/exports/"), F.col("r_regionkey").cast("string")).alias("path"), (F.col("r_regionkey") + 10).alias("csv_upload_id"))
     return load_rows(rows, accepted, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).drop("deleted_at")
+
+
+_MISSING_SQL = ", ".join("'" + m.replace("'", "''") + "'" for m in sorted(split_csv.MISSING))
+
+
+@query("profile_export_ranged", f"""
+SELECT * FROM (SELECT
+  CASE WHEN CAST(doc_id AS VARCHAR) IN ({_MISSING_SQL}) THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS guest_id,
+  CASE WHEN source IN ({_MISSING_SQL}) THEN NULL ELSE source END AS name,
+  CASE WHEN lang IN ({_MISSING_SQL}) THEN NULL ELSE lang END AS city,
+  CASE WHEN text IN ({_MISSING_SQL}) THEN NULL ELSE text END AS comments FROM documents)
+WHERE guest_id IS NOT NULL OR name IS NOT NULL OR city IS NOT NULL OR comments IS NOT NULL""")
+def _(load):
+    """Every document written as a guest-profile export (multi-line quoted comments) and read back in byte ranges."""
+    docs = load("documents")
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/exports-{uuid.uuid4().hex}"
+    rows = docs.select(F.col("doc_id").cast("string").alias("Guest No"), F.col("source").alias("Name"),
+                       F.col("lang").alias("City"), F.col("text").alias("Comments"))
+    preamble = ["Guest profile", "All guests", "", "from,to", "", ""]
+    split_csv.write_export(rows, folder, rows.columns, preamble)
+    found = split_csv.read_report_csv_ranged(spark, folder, "profile_guest")
+    return found.select("guest_id", "name", "city", "comments")
