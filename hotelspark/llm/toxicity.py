@@ -82,11 +82,12 @@ def lexicon(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -
     return [r.w for r in top.collect()]
 
 
-def votes(text: Column, lexicon_: list[str]) -> Column:
-    """Array of votes (-1 abstains, 0 clean, 1 toxic): one per lexicon word, per pattern, and the clean voter."""
-    found = terms(words(text))
+def votes(text: Column, lexicon_: list[str], found: Column | None = None, lower: Column | None = None) -> Column:
+    """Array of votes (-1 abstains, 0 clean, 1 toxic): one per lexicon word, per pattern, and the clean voter.
+    ``found`` (the text's terms) and ``lower`` (its lower case) may be given as columns computed once."""
+    found = terms(words(text)) if found is None else found
     raw = F.coalesce(text, F.lit(""))
-    lower = F.lower(raw)
+    lower = F.lower(raw) if lower is None else lower
     out = [F.when(F.array_contains(found, w), 1).otherwise(-1) for w in lexicon_]
     for _, pattern, vote in PATTERNS:
         target = raw if "Lu" in pattern else lower
@@ -167,7 +168,7 @@ def _correlations(patterns: DataFrame, model: LabelModel, m: int) -> list[float]
 
 def learn_label_model(docs: DataFrame, labels: DataFrame, lexicon_: list[str], folds: int = 5, held: int = 0) -> LabelModel:
     m = len(lexicon_) + len(PATTERNS) + 2
-    voted = docs.select("doc_id", votes(F.col("text"), lexicon_).alias("v"))
+    voted = _voted(docs, lexicon_).select("doc_id", F.col("_v").alias("v"))
     patterns = settled(voted.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").alias("q"))
@@ -186,9 +187,17 @@ def learn_label_model(docs: DataFrame, labels: DataFrame, lexicon_: list[str], f
 
 
 def _features(docs: DataFrame, lexicon_: list[str]) -> DataFrame:
-    tokens = F.concat(terms(words(F.col("text"))), F.transform(votes(F.col("text"), lexicon_), lambda x, i: F.concat(
+    """``docs`` with the votes ``_v`` (computed once, then referred to) and the tokens ``_tokens`` to hash."""
+    voted = _voted(docs, lexicon_)
+    tokens = F.concat(F.col("_t"), F.transform("_v", lambda x, i: F.concat(
         F.lit("\u0000vote"), i.cast("string"), F.lit(":"), x.cast("string"))))
-    return docs.withColumn("_tokens", tokens)
+    return voted.withColumn("_tokens", tokens).drop("_t", "_l")
+
+
+def _voted(docs: DataFrame, lexicon_: list[str]) -> DataFrame:
+    """``docs`` with terms ``_t``, lower-cased text ``_l`` and votes ``_v``, each computed once per row."""
+    both = docs.withColumns({"_t": terms(words(F.col("text"))), "_l": F.lower(F.coalesce(F.col("text"), F.lit("")))})
+    return both.withColumn("_v", votes(F.col("text"), lexicon_, F.col("_t"), F.col("_l")))
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0):
@@ -201,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0):
     share = min(1.0, TRAIN_ROWS / max(total, 1))
     chosen = docs.filter(F.abs(F.xxhash64(F.coalesce("text", F.lit("")))) % 1_000_000 < share * 1_000_000)
     hashed = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=FEATURES, binary=True)
-    rows = hashed.transform(_features(chosen, words_)).select("features", model.posterior(votes(F.col("text"), words_)).alias("q"))
+    rows = hashed.transform(_features(chosen, words_)).select("features", model.posterior(F.col("_v")).alias("q"))
     soft = settled(rows.select("features", F.lit(1.0).alias("label"), F.col("q").alias("weight")).unionByName(
         rows.select("features", F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight"))))
     classifier = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=60, standardization=False).fit(soft)
