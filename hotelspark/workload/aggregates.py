@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hotelspark.operators import bills, contacts, lookups, mart, rooms, stays
+from hotelspark.operators import bills, contacts, duplicates, lookups, mart, rooms, stays
 from hotelspark.schemas import STAY_KEYS
 from hotelspark.workload.registry import query, rounded
 
@@ -487,3 +487,18 @@ def _(load):
     lines = load("fx_bills")
     totals = lines.filter("article_number > 300").groupBy("outlet", "bill_number").agg(F.sum("sales").alias("bill_sales"))
     return bills.attach_bill_totals(lines, totals).select("line_no", "sales", "bill_sales")
+
+
+@query("duplicate_guests_similar", """
+, g AS (SELECT DISTINCT id, birth_date, trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')) AS n FROM fx_profiles
+  WHERE birth_date IS NOT NULL AND id IS NOT NULL),
+k AS (SELECT * FROM g WHERE n <> ''),
+p AS (SELECT a.id AS u, b.id AS v FROM k a JOIN k b ON a.birth_date = b.birth_date AND a.id <> b.id
+  WHERE a.n = b.n OR levenshtein(a.n, b.n) <= 1 OR contains(' ' || b.n || ' ', ' ' || a.n || ' ') OR contains(' ' || a.n || ' ', ' ' || b.n || ' ')),
+reach AS (WITH RECURSIVE r AS (SELECT id AS node, id AS seen FROM k UNION SELECT r.node, p.v FROM r JOIN p ON p.u = r.seen)
+  SELECT node, min(seen) AS group_id FROM r GROUP BY node),
+m AS (SELECT k.id, k.birth_date, reach.group_id FROM k JOIN reach ON reach.node = k.id)
+SELECT id::BIGINT AS id, birth_date, group_id::BIGINT AS group_id, count(*) OVER (PARTITION BY group_id)::BIGINT AS guests FROM m
+QUALIFY count(*) OVER (PARTITION BY group_id) > 1""", P)
+def _(load):
+    return duplicates.similar_guests(load("fx_profiles"))
