@@ -11,7 +11,7 @@ import __spark_entry__ as driver
 
 def test_queries_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(driver.queries())
-    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_stages_keep_columns_and_work_on_what_is_left(spark, tmp_path):
