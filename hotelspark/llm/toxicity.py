@@ -41,8 +41,12 @@ MIN_SUPPORT = 5
 PRECISION = 0.5
 #: Bound on the rows the linear classifier is fitted on (chosen by a hash of the row); all rows are scored.
 TRAIN_ROWS = 200_000
-FEATURES = 1 << 18
+FEATURES = 1 << 16
+#: Rows of the classifier's training table per task, and of distinct vote vectors per task.
+TASK_ROWS = 100_000
 ROUNDS = 20
+#: EM stops early once no probability of the label model moves by more than this.
+SETTLED = 1e-5
 SMOOTH = 1.0
 ACCEPT = 0.5
 
@@ -124,12 +128,22 @@ def _tally(patterns: DataFrame, q: Column, m: int) -> tuple[float, list[list[lis
     rows = patterns.select("n", "v", q.alias("q")).select(
         "n", "q", F.posexplode("v").alias("j", "vote")).groupBy("j", "vote").agg(
         F.sum(F.col("n") * F.col("q")).alias("one"), F.sum(F.col("n") * (1 - F.col("q"))).alias("zero")).collect()
-    total = patterns.agg(F.sum(F.col("n") * q).alias("one"), F.sum("n").alias("all")).first()
     counts = [[[SMOOTH] * 3 for _ in range(m)] for _ in range(2)]
+    one = every = 0.0
     for r in rows:
         counts[1][r.j][r.vote + 1] += r.one
         counts[0][r.j][r.vote + 1] += r.zero
-    return (total.one or 0.0) / max(total["all"] or 0, 1), counts
+        if r.j == 0:
+            # Every row votes once per voter, so the first voter's counts are all rows.
+            one, every = one + r.one, every + r.one + r.zero
+    return one / max(every, 1e-12), counts
+
+
+def _moved(a: LabelModel, b: LabelModel) -> float:
+    steps = [abs(a.prior - b.prior)]
+    for y in (0, 1):
+        steps += [abs(x - z) for u, w in zip(a.theta[y], b.theta[y], strict=True) for x, z in zip(u, w, strict=True)]
+    return max(steps)
 
 
 def _model(prior: float, counts, weights) -> LabelModel:
@@ -169,7 +183,8 @@ def _correlations(patterns: DataFrame, model: LabelModel, m: int) -> list[float]
 def learn_label_model(docs: DataFrame, labels: DataFrame, lexicon_: list[str], folds: int = 5, held: int = 0) -> LabelModel:
     m = len(lexicon_) + len(PATTERNS) + 2
     voted = _voted(docs, lexicon_).select("doc_id", F.col("_v").alias("v"))
-    patterns = settled(voted.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    patterns = voted.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    patterns = settled(patterns.repartition(max(1, -(-patterns.count() // TASK_ROWS))))
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").alias("q"))
     known = voted.filter(F.col("doc_id").isNotNull() & ~held_out(folds, held)).join(marks, "doc_id").groupBy("v").agg(
@@ -181,7 +196,9 @@ def learn_label_model(docs: DataFrame, labels: DataFrame, lexicon_: list[str], f
     for _ in range(2):
         for _ in range(ROUNDS):
             prior, counts = _tally(patterns, model.posterior(F.col("v")), m)
-            model = _model(prior, counts, model.weights)
+            before, model = model, _model(prior, counts, model.weights)
+            if _moved(before, model) < SETTLED:
+                break
         model = _model(model.prior, counts, _correlations(patterns, model, m))
     return model
 
@@ -211,9 +228,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0):
     chosen = docs.filter(F.abs(F.xxhash64(F.coalesce("text", F.lit("")))) % 1_000_000 < share * 1_000_000)
     hashed = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=FEATURES, binary=True)
     rows = hashed.transform(_features(chosen, words_)).select("features", model.posterior(F.col("_v")).alias("q"))
-    soft = settled(rows.select("features", F.lit(1.0).alias("label"), F.col("q").alias("weight")).unionByName(
-        rows.select("features", F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight"))))
-    classifier = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=60, standardization=False).fit(soft)
+    soft = rows.select("features", F.lit(1.0).alias("label"), F.col("q").alias("weight")).unionByName(
+        rows.select("features", F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))
+    soft = settled(soft.repartition(max(1, -(-2 * min(total, TRAIN_ROWS) // TASK_ROWS))))
+    classifier = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40, standardization=False).fit(soft)
     return words_, model, hashed, classifier
 
 
