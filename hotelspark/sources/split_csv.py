@@ -67,8 +67,11 @@ def ranged_lines(spark: SparkSession, paths: list[str], skip: int) -> DataFrame:
         "_before", F.col("p0") + F.sum("q").over(inside) - F.col("q")).withColumns({
             "start": (F.col("idx") < skip) | (F.col("_before") % 2 == 0),
             "end": (F.col("idx") < skip) | ((F.col("_before") + F.col("q")) % 2 == 0)})
-    following = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    lines = lines.withColumn("next_end", F.min(F.when(F.col("end"), F.col("idx"))).over(following))
+    # A running minimum from the range's end backwards: each row adds one step, where a frame reaching forward
+    # would be summed again for every row.
+    backwards = Window.partitionBy("file", "range").orderBy(F.col("idx").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("next_end", F.min(F.when(F.col("end"), F.col("idx"))).over(backwards))
     firsts = lines.groupBy("file", "range").agg(F.min(F.when(F.col("end"), F.col("idx"))).alias("f"))
     later = Window.partitionBy("file").orderBy("range").rowsBetween(1, Window.unboundedFollowing)
     firsts = firsts.withColumn("after", F.min("f").over(later))
