@@ -66,3 +66,20 @@ def test_stripped_text_is_whole_characters(spark):
 def test_empty_table(spark):
     assert suffixes.measure_repeats(cases.empty(spark)).collect() == []
     assert suffixes.strip_repeats(cases.empty(spark)).columns == cases.empty(spark).columns
+
+
+def test_passages_just_under_and_over_the_length(spark):
+    """A passage shared by two documents goes when it has 400 bytes or more, and stays when it has 399."""
+    from hotelspark.llm import suffixes as S
+
+    def filler(seed: int, n: int) -> str:
+        rng = random.Random(seed)
+        return "".join(rng.choice("abcdefghij klmnopqrst") for _ in range(n))
+
+    under, over = filler(1, 399), filler(2, 400)
+    rows = [(1, filler(3, 300) + under + filler(4, 300)), (2, filler(5, 200) + under),
+            (3, filler(6, 300) + over + filler(7, 300)), (4, over + filler(8, 250))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in S.measure_repeats(docs).collect()}
+    assert got[1] == got[2] == 0
+    assert got[3] >= 400 and got[4] >= 400
