@@ -42,7 +42,7 @@ PRECISION = 0.5
 #: Bound on the rows the linear classifier is fitted on (chosen by a hash of the row); all rows are scored.
 TRAIN_ROWS = 200_000
 FEATURES = 1 << 16
-#: Rows of the classifier's training table per task, and of distinct vote vectors per task.
+#: Distinct vote vectors per task of the label model's steps.
 TASK_ROWS = 100_000
 ROUNDS = 20
 #: EM stops early once no probability of the label model moves by more than this.
@@ -182,7 +182,8 @@ def _correlations(patterns: DataFrame, model: LabelModel, m: int) -> list[float]
 
 def learn_label_model(docs: DataFrame, labels: DataFrame, lexicon_: list[str], folds: int = 5, held: int = 0) -> LabelModel:
     m = len(lexicon_) + len(PATTERNS) + 2
-    voted = _voted(docs, lexicon_).select("doc_id", F.col("_v").alias("v"))
+    # Votes are the costly part: computed once per row into the shared folder, then only grouped and joined.
+    voted = settled(_voted(docs, lexicon_).select("doc_id", F.col("_v").alias("v")))
     patterns = voted.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     patterns = settled(patterns.repartition(max(1, -(-patterns.count() // TASK_ROWS))))
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
@@ -228,9 +229,11 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0):
     chosen = docs.filter(F.abs(F.xxhash64(F.coalesce("text", F.lit("")))) % 1_000_000 < share * 1_000_000)
     hashed = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=FEATURES, binary=True)
     rows = hashed.transform(_features(chosen, words_)).select("features", model.posterior(F.col("_v")).alias("q"))
-    soft = rows.select("features", F.lit(1.0).alias("label"), F.col("q").alias("weight")).unionByName(
-        rows.select("features", F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))
-    soft = settled(soft.repartition(max(1, -(-2 * min(total, TRAIN_ROWS) // TASK_ROWS))))
+    # Each chosen row twice (label 1 weighted by its posterior, label 0 by the complement) from one computation of
+    # its features; the regression keeps its own copy of these rows for its iterations.
+    pairs = F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")),
+                    F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))
+    soft = rows.select("features", F.explode(pairs).alias("p")).select("features", "p.label", "p.weight")
     classifier = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40, standardization=False).fit(soft)
     return words_, model, hashed, classifier
 
