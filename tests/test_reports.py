@@ -195,6 +195,25 @@ def test_readonly_sql(spark, resv):
         assert check_readonly(spark, good)
 
 
+def test_readonly_sql_visits_the_whole_plan(spark):
+    wide = ", ".join(f"{i} AS c{i}" for i in range(40))
+    for bad in (f"SELECT {wide}, reflect('java.lang.System', 'getProperty', 'user.home') FROM datamart_x",
+                "SELECT * FROM datamart_x WHERE 1 IN (SELECT java_method('java.lang.Math', 'abs', -1))",
+                "SELECT transform(array(1), v -> try_reflect('java.lang.Math', 'abs', v))",
+                "WITH a AS (SELECT reflect('java.lang.Math', 'abs', -1)) SELECT * FROM a",
+                "SELECT * FROM (WITH x AS (SELECT 1) SELECT * FROM x) UNION ALL SELECT * FROM x",
+                "WITH a AS (SELECT * FROM datamart_x) SELECT * FROM a, unpublished",
+                "SELECT * FROM read_files('/tmp')", "SELECT * FROM spark_catalog.default.datamart_x",
+                "INSERT INTO datamart_x SELECT 1", "CACHE TABLE datamart_x"):
+        with pytest.raises(ValueError):
+            check_readonly(spark, bad, allow_with=True)
+    for good in ("SELECT 'CTE [a]' AS t", "SELECT 'InsertInto reflect(' AS t FROM datamart_x", "SELECT * FROM DATAMART_X",
+                 "VALUES (1)", "SELECT * FROM range(3)", "SELECT * FROM datamart_x LATERAL VIEW explode(array(1)) e AS y",
+                 f"SELECT {wide} FROM datamart_x WHERE EXISTS (SELECT 1 FROM datamart_y)"):
+        assert check_readonly(spark, good)
+    assert check_readonly(spark, "WITH a AS (SELECT 1 AS n), b AS (SELECT * FROM a) SELECT * FROM b JOIN datamart_x", allow_with=True)
+
+
 def test_plans_have_no_nested_loops_or_python(resv, builds):
     out = report.occupancy_report(resv, builds, "2024-01-01", "2024-01-06", "room_type_desc", top_n=2, include_other=True)
     plan = out._jdf.queryExecution().executedPlan().toString()
