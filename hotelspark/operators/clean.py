@@ -133,13 +133,14 @@ def chat_rows(df: DataFrame, row_columns: list[str] | None = None) -> DataFrame:
 def resto_cells(df: DataFrame) -> DataFrame:
     """Bill cells before consolidation: dd/mm/yy dates, integers (0 where unreadable), amounts, guest names."""
     ints = ("table_number", "bill_number", "article_number", "posting_id", "reservation_number")
-    whole = lambda c: F.coalesce(F.trim(F.col(c).cast("string")).try_cast("double").try_cast("bigint"), F.lit(0))
+    # Through decimal, never double: long bill and reservation numbers keep every digit; fractions are cut as before.
+    whole = lambda c: F.coalesce(F.trim(F.col(c).cast("string")).try_cast("decimal(38,6)").try_cast("bigint"), F.lit(0))
     money = lambda c: F.coalesce(
         F.regexp_replace(F.trim(F.col(c).cast("string")), ",", "").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")
     )
     parsed = dates.parse_short_date(F.col("transaction_date"))
     return _apply(df, {
         "transaction_date": parsed, **{i: whole(i) for i in ints}, **{m: money(m) for m in ("sales", "payment")},
-        "quantity": F.coalesce(F.trim(F.col("quantity").cast("string")).try_cast("double").try_cast("bigint"), F.lit(0)),
+        "quantity": whole("quantity"),
         "guest_name": text.clean_bill_name(F.col("guest_name")),
     })

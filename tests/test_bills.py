@@ -84,3 +84,14 @@ def test_uploads_are_not_added_up(spark):
     both = df.limit(1).withColumn("source_file", F.lit("a")).unionByName(df.limit(1).withColumn("source_file", F.lit("b")))
     assert [(r.quantity, r.sales) for r in bills.consolidate_bills(both).collect()] == [(1, Decimal("6.00"))] * 2
     assert [(r.quantity, r.sales) for r in bills.consolidate_bills(both, scope=["outlet"]).collect()] == [(2, Decimal("12.00"))]
+
+
+def test_bill_numbers_keep_every_digit(spark):
+    from hotelspark.operators.clean import resto_cells
+    cells = spark.createDataFrame(
+        [(" 9007199254740993.0", "12.9", "x", "1e3", "9223372036854775807", "5", "10.00", "10.00", "01/02/24", "MR A")],
+        "bill_number string, table_number string, article_number string, posting_id string, reservation_number string,"
+        " quantity string, sales string, payment string, transaction_date string, guest_name string")
+    r = resto_cells(cells).first()
+    assert (r.bill_number, r.table_number, r.article_number, r.posting_id, r.reservation_number, r.quantity) == (
+        9007199254740993, 12, 0, 1000, 9223372036854775807, 5)
