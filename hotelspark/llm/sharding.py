@@ -19,11 +19,13 @@ RECORD_BYTES = 16
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot), one row per document.
 
-    The slot is a hash of the id; rows without an id are spread by their text. Null text counts as empty.
-    Repeated rows share a slot. Other columns are not carried.
+    The slot is a hash of the id. Rows without an id are spread by their place in the input, so many of them, even
+    with equal or null texts, fill many slots; the place is only stable once the rows are settled, as
+    ``shard_documents`` does before weighing. Null text counts as empty. Repeated rows with an id share a slot.
+    Other columns are not carried.
     """
     text = F.coalesce("text", F.lit(""))
-    spread = F.when(F.col("doc_id").isNull(), text)
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     return docs.select(
         "doc_id", (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64("doc_id", spread), F.lit(slots)).cast("int").alias("virtual_slot"))

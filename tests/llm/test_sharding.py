@@ -48,3 +48,16 @@ def test_rebalance_moves_little():
     assert all(grown[s] == 8 for s in moved) and len(moved) <= 512 // 9 + 1
     shrunk = sharding.rebalance(built, weights, 7)
     assert set(shrunk.values()) == set(range(7)) and all(shrunk[s] == built[s] for s in built if built[s] < 7)
+
+
+def test_rows_without_id_are_spread(spark):
+    # 3,000 rows without id or text beside 7,000 others: shards stay near equal in bytes.
+    docs = spark.range(10000).selectExpr("CASE WHEN id < 3000 THEN NULL ELSE id END AS doc_id",
+                                         "CASE WHEN id < 3000 THEN NULL ELSE repeat('y', cast(id % 13 as int)) END AS text")
+    rows = sharding.shard_documents(docs, 40).collect()
+    check(docs, 40, rows)
+    bytes_ = Counter()
+    for r in rows:
+        bytes_[r.shard] += r.size
+    mean = sum(bytes_.values()) / 40
+    assert max(bytes_.values()) - min(bytes_.values()) < 0.05 * mean
