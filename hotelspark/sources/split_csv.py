@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hotelspark.schemas import REPORTS, ReportKind
+from hotelspark.session import ensure_checkpoint_dir
 from hotelspark.sources.report_csv import MISSING, ReportError
 
 #: Ranges of a read above this count are joined back by a shuffle, below it by a broadcast of the range table.
@@ -110,7 +111,10 @@ def read_report_csv_ranged(spark: SparkSession, paths: str | list[str], kind: st
     kind = REPORTS[kind] if isinstance(kind, str) else kind
     paths = [paths] if isinstance(paths, str) else list(paths)
     skip = kind.skip_rows
-    lines = ranged_lines(spark, paths, skip)
+    # Lines are read, numbered and shuffled once into the checkpoint folder; the three passes below (how each file's
+    # records look, its first line, the rows) read them back instead of reading and shuffling the files again.
+    ensure_checkpoint_dir(spark)
+    lines = ranged_lines(spark, paths, skip).checkpoint()
     recs = records(lines.filter(F.col("idx") >= skip)).filter("record <> ''")
     parsed = recs.withColumn("cells", _cells(F.col("record"))).withColumn(
         "ok", F.col("record").rlike(_RECORD) & F.col("rec").isNotNull())
