@@ -71,8 +71,7 @@ def op12_lightest_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    learned = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, learned).select("doc_id", quality.held_out(5, 0).alias("held_out"), "score", "predicted")
+    return toxicity.learn_and_score(docs, table(spark, sf_dir, "labels")).select("doc_id", quality.held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {f.__name__: f for f in (

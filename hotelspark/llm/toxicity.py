@@ -181,9 +181,13 @@ def _correlations(patterns: DataFrame, model: LabelModel, m: int) -> list[float]
 
 
 def learn_label_model(docs: DataFrame, labels: DataFrame, lexicon_: list[str], folds: int = 5, held: int = 0) -> LabelModel:
-    m = len(lexicon_) + len(PATTERNS) + 2
     # Votes are the costly part: computed once per row into the shared folder, then only grouped and joined.
     voted = settled(_voted(docs, lexicon_).select("doc_id", F.col("_v").alias("v")))
+    return _label_model(voted, labels, len(lexicon_) + len(PATTERNS) + 2, folds, held)
+
+
+def _label_model(voted: DataFrame, labels: DataFrame, m: int, folds: int, held: int) -> LabelModel:
+    """The label model from (doc_id, v): the votes of every row."""
     patterns = voted.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     patterns = settled(patterns.repartition(max(1, -(-patterns.count() // TASK_ROWS))))
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
@@ -218,19 +222,34 @@ def _voted(docs: DataFrame, lexicon_: list[str]) -> DataFrame:
     return both.withColumn("_v", votes(F.col("text"), lexicon_, F.col("_t"), F.col("_l")))
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0):
-    """Lexicon, label model and classifier; labels only from the training fold, and only to start the label model
-    and choose the lexicon."""
+def featured(docs: DataFrame, lexicon_: list[str], hashed: HashingTF) -> DataFrame:
+    """(doc_id, _v, features, _pick) of every row: votes, hashed words and votes, and the hash that chooses the
+    classifier's training rows; the text is read once for all of them."""
+    pick = F.abs(F.xxhash64(F.coalesce("text", F.lit("")))) % 1_000_000
+    return hashed.transform(_features(docs.select("doc_id", "text"), lexicon_)).select(
+        "doc_id", "_v", "features", pick.alias("_pick"))
+
+
+def _hashing() -> HashingTF:
+    return HashingTF(inputCol="_tokens", outputCol="features", numFeatures=FEATURES, binary=True)
+
+
+def _prepared(docs: DataFrame, labels: DataFrame, folds: int, held: int):
+    """Lexicon, hashing and the featured rows of ``docs``, kept in the shared folder: the label model, the
+    classifier's training rows and (for :func:`learn_and_score`) the scores all read them from there."""
     docs = docs.select("doc_id", "text")
     words_ = lexicon(docs, labels, folds, held)
-    model = learn_label_model(docs, labels, words_, folds, held)
-    total = docs.count()
+    hashed = _hashing()
+    return words_, hashed, settled(featured(docs, words_, hashed))
+
+
+def _fit(table: DataFrame, labels: DataFrame, words_: list[str], hashed: HashingTF, folds: int, held: int):
+    model = _label_model(table.select("doc_id", F.col("_v").alias("v")), labels, len(words_) + len(PATTERNS) + 2, folds, held)
+    total = table.count()
     share = min(1.0, TRAIN_ROWS / max(total, 1))
-    chosen = docs.filter(F.abs(F.xxhash64(F.coalesce("text", F.lit("")))) % 1_000_000 < share * 1_000_000)
-    hashed = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=FEATURES, binary=True)
-    rows = hashed.transform(_features(chosen, words_)).select("features", model.posterior(F.col("_v")).alias("q"))
-    # Each chosen row twice (label 1 weighted by its posterior, label 0 by the complement) from one computation of
-    # its features; the regression keeps its own copy of these rows for its iterations.
+    rows = table.filter(F.col("_pick") < share * 1_000_000).select("features", model.posterior(F.col("_v")).alias("q"))
+    # Each chosen row twice (label 1 weighted by its posterior, label 0 by the complement); the regression keeps
+    # its own copy of these rows for its iterations.
     pairs = F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")),
                     F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))
     soft = rows.select("features", F.explode(pairs).alias("p")).select("features", "p.label", "p.weight")
@@ -238,10 +257,27 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0):
     return words_, model, hashed, classifier
 
 
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0):
+    """Lexicon, label model and classifier; labels only from the training fold, and only to start the label model
+    and choose the lexicon."""
+    words_, hashed, table = _prepared(docs, labels, folds, held)
+    return _fit(table, labels, words_, hashed, folds, held)
+
+
+def _scored(rows: DataFrame, classifier) -> DataFrame:
+    score = vector_to_array("probability")[1]
+    return classifier.transform(rows.select("doc_id", "features")).select(
+        "doc_id", score.alias("score"), (score >= ACCEPT).cast("int").alias("predicted"))
+
+
 def score_documents(docs: DataFrame, learned) -> DataFrame:
     """doc_id, score (the classifier's probability of toxic) and predicted (score >= ACCEPT) of every row."""
     words_, _, hashed, classifier = learned
-    rows = hashed.transform(_features(docs.select("doc_id", "text"), words_))
-    scored = classifier.transform(rows.select("doc_id", "features"))
-    score = vector_to_array("probability")[1]
-    return scored.select("doc_id", score.alias("score"), (score >= ACCEPT).cast("int").alias("predicted"))
+    return _scored(featured(docs, words_, hashed), classifier)
+
+
+def learn_and_score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+    """:func:`learn` on ``docs`` and the scores of all of them, with each text read once after the lexicon:
+    the scores come from the kept featured rows. Same rows and columns as :func:`score_documents`."""
+    words_, hashed, table = _prepared(docs, labels, folds, held)
+    return _scored(table, _fit(table, labels, words_, hashed, folds, held)[3])

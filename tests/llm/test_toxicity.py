@@ -54,3 +54,8 @@ def test_given_table_scores_held_out_rows_and_hard_cases(spark):
     assert len(out) == hard.count() and out.score.between(0, 1).all()
     assert set(out.predicted) <= {0, 1}
     assert toxicity.score_documents(cases.empty(spark), learned).count() == 0
+    # The query's path: one featured table for learning and scores, the same rows and scores as the two steps.
+    both = toxicity.learn_and_score(docs, labels).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True)
+    apart = toxicity.score_documents(docs, learned).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True)
+    assert len(both) == docs.count() and (both.doc_id == apart.doc_id).all()
+    assert (both.score - apart.score).abs().max() < 1e-6 and (both.predicted == apart.predicted).all()
