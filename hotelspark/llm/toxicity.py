@@ -37,6 +37,8 @@ from hotelspark.llm.quality import held_out
 LEXICON = 32
 STEM = 5
 MIN_SUPPORT = 5
+#: Lexicon candidates (words of at least MIN_SUPPORT toxic documents) are broadcast up to this many.
+BROADCAST_WORDS = 200_000
 #: A lexicon voter must be right at least this often when it votes, by the lower bound of its share.
 PRECISION = 0.5
 #: Bound on the rows the linear classifier is fitted on (chosen by a hash of the row); all rows are scored.
@@ -76,7 +78,15 @@ def lexicon(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
     learned = docs.filter(F.col("doc_id").isNotNull() & ~held_out(folds, held)).select("doc_id", "text").join(marks, "doc_id")
-    counts = learned.select(F.explode(terms(words(F.col("text")))).alias("w"), "toxic").groupBy("w").agg(
+    found = learned.select(F.explode(terms(words(F.col("text")))).alias("w"), "toxic")
+    # Only words of at least MIN_SUPPORT toxic documents can be voters: they are found among the toxic documents'
+    # words first, and only their rows of all documents are counted, so the common words are never shuffled. The
+    # candidates are broadcast when few enough, else joined by a shuffle.
+    candidates = found.filter(F.col("toxic") == 1).groupBy("w").agg(F.count(F.lit(1)).alias("pos")).filter(
+        F.col("pos") >= MIN_SUPPORT)
+    candidates = settled(candidates)
+    small = candidates.count() <= BROADCAST_WORDS
+    counts = found.join(F.broadcast(candidates) if small else candidates, "w", "left_semi").groupBy("w").agg(
         F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
     z = 1.96
     p = F.col("pos") / F.col("n")
