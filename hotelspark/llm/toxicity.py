@@ -263,6 +263,9 @@ def _fit(table: DataFrame, labels: DataFrame, words_: list[str], hashed: Hashing
     pairs = F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")),
                     F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))
     soft = rows.select("features", F.explode(pairs).alias("p")).select("features", "p.label", "p.weight")
+    # The chosen rows are spread thinly over all the table's partitions; gathered into tasks of about TASK_ROWS rows
+    # (no shuffle), each iteration combines a few gradients instead of one per partition of the table.
+    soft = soft.coalesce(max(1, -(-2 * min(total, TRAIN_ROWS) // TASK_ROWS)))
     classifier = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40, standardization=False).fit(soft)
     return words_, model, hashed, classifier
 
