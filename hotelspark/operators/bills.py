@@ -41,23 +41,31 @@ def merge_transferred_bills(df: DataFrame, scope: list[str] | None = None) -> Da
     The number before is kept as ``prev_bill_number``. Only bills with transfers take part in the component
     search; the rename is a left join that AQE may broadcast or split where one bill dominates.
     """
-    scope = scope or bill_scope(df)
+    return _renamed(_labelled(df, scope or bill_scope(df)))
+
+
+def _labelled(df: DataFrame, scope: list[str]) -> DataFrame:
+    """Lines with ``_merged``, the highest number of the bills theirs was transferred with, null without transfers."""
     df = df.withColumn("bill_number", F.coalesce("bill_number", F.lit(0)).cast("bigint"))
     labels = component_max(bill_transfers(df, scope), scope).withColumnsRenamed(
         {"node": "bill_number", "label": "_merged"}
     )
+    return df.join(labels, [*scope, "bill_number"], "left")
+
+
+def _renamed(labelled: DataFrame) -> DataFrame:
     return (
-        df.join(labels, [*scope, "bill_number"], "left")
-        .withColumn("prev_bill_number", F.col("bill_number"))
+        labelled.withColumn("prev_bill_number", F.col("bill_number"))
         .withColumn("bill_number", F.coalesce("_merged", "bill_number"))
         .drop("_merged")
     )
 
 
 def _in_file_order(column: str, line: str, first: bool) -> Column:
-    """First or last non-null value by line number."""
-    rank = F.struct(F.col(column).isNull() if first else F.col(column).isNotNull(), F.col(line), F.col(column))
-    return (F.min_by if first else F.max_by)(column, rank).alias(column)
+    """First or last non-null value by line number; the rank ends in the value, so it is shuffled once, inside it."""
+    rank = F.struct((F.col(column).isNull() if first else F.col(column).isNotNull()).alias("known"),
+                    F.col(line).alias("line"), F.col(column).alias("value"))
+    return (F.min if first else F.max)(rank).getField("value").alias(column)
 
 
 FIRST = ("description", "posting_id", "start_time", "guest_name", "travel_agent_name", "reservation_number",
@@ -122,10 +130,18 @@ def consolidate_bills(df: DataFrame, line: str = "line_no", scope: list[str] | N
 
     ``scope`` tells bills of one number apart and goes to every step: by default the upload columns of the frame and
     the outlet.
+
+    Bills without transfers keep their number, so the shuffle of the rename join already holds each of them together:
+    they are grouped and folded where they are, and only bills with transfers are shuffled again under their new
+    number. Every bill of a component has a label, so no bill is in both parts. Where one bill dominates,
+    ``spark.sql.adaptive.forceOptimizeSkewedJoin`` (on in ``build_session``) lets AQE split the join all the same.
     """
     scope = scope or bill_scope(df)
-    known = df.filter(F.col("outlet").isin(*OUTLETS))
-    return classify_articles(fold_deductions(group_bill_lines(merge_transferred_bills(known, scope), line, scope), scope))
+    lines = _labelled(df.filter(F.col("outlet").isin(*OUTLETS)), scope)
+    alone = lines.filter(F.col("_merged").isNull()).withColumn("prev_bill_number", F.col("bill_number")).drop("_merged")
+    moved = _renamed(lines.filter(F.col("_merged").isNotNull()))
+    folded = [fold_deductions(group_bill_lines(part, line, scope), scope) for part in (alone, moved)]
+    return classify_articles(folded[0].unionByName(folded[1]))
 
 
 def bill_rows(df: DataFrame) -> DataFrame:

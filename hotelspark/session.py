@@ -20,6 +20,7 @@ def build_session(app: str = "hotelspark", master: str | None = None, **conf: st
         .config("spark.sql.session.timeZone", HOTEL_ZONE)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD_LIMIT)
     )
     if master:

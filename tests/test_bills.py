@@ -95,3 +95,60 @@ def test_bill_numbers_keep_every_digit(spark):
     r = resto_cells(cells).first()
     assert (r.bill_number, r.table_number, r.article_number, r.posting_id, r.reservation_number, r.quantity) == (
         9007199254740993, 12, 0, 1000, 9223372036854775807, 5)
+
+
+def _final_groups_reach_a_join(df, key):
+    """Of the final (not partial) aggregates by ``key``, whether each gets its rows from a join without a shuffle."""
+    found = []
+
+    def below(node):
+        kids = node.children()
+        return [kids.apply(i) for i in range(kids.size())]
+
+    def walk(node):
+        text = node.simpleString(100)
+        if "Aggregate(key" in text and f"{key}#" in text.split("functions=")[0] and "partial_" not in text:
+            down = node
+            while "Exchange" not in down.nodeName() and "Join" not in down.nodeName() and below(down):
+                down = below(down)[0]
+            found.append("Join" in down.nodeName())
+        for child in below(node):
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan().executedPlan())
+    return found
+
+
+def random_bills(spark, seed=11, rows=1500):
+    """Lines of two uploads with transfers, repeated lines, null bills, nulls in details and one bill of a third of all."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(rows):
+        bill = rnd.choice([7, None, rnd.randrange(200), rnd.randrange(200), rnd.randrange(200), rnd.randrange(200)])
+        text = rnd.choice([None, "Soup", f"Item {rnd.randrange(9)}", f"To Table 5 *{rnd.randrange(220)}"] if i % 12 == 0 else [None, "Soup", "Tea"])
+        article = rnd.choice([8911, 9850, 9801, rnd.randrange(1, 12), rnd.randrange(1, 12), None])
+        out.append((rnd.choice([1, 1, 2, None]), *line(
+            rnd.choice([i, i, None]), rnd.choice(["Restaurant & Bar", "Room Service", "Spa", None]), bill, article, text,
+            rnd.randrange(3), f"{rnd.randrange(3)}.50", f"{rnd.randrange(3)}.25", rnd.choice([None, "Ann", "Bob"]), rnd.choice([None, 1, 2]))))
+    out += out[:50]
+    return spark.createDataFrame(out, "csv_upload_id int, " + LINES)
+
+
+def test_bills_without_transfers_are_grouped_where_the_rename_put_them(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = random_bills(spark)
+        got = bills.consolidate_bills(lines)
+        # Lines and deductions of such bills: grouped without another shuffle. Those of moved bills: after one.
+        assert sorted(_final_groups_reach_a_join(got, "article_number")) == [False, False, True, True]
+        # The steps one after the other over all bills give the same rows.
+        scope = bills.bill_scope(lines)
+        known = lines.filter(F.col("outlet").isin(*bills.OUTLETS))
+        want = bills.classify_articles(bills.fold_deductions(bills.group_bill_lines(
+            bills.merge_transferred_bills(known, scope), "line_no", scope), scope))
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        rows = sorted(map(repr, got.collect()))
+        assert rows == sorted(map(repr, want.collect())) and len(rows) > 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
