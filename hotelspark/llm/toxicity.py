@@ -23,6 +23,7 @@ empty table gives no rows, and a training fold without both classes raises.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -31,14 +32,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hotelspark.llm.common import settled
+from hotelspark.llm.common import settled, shared_folder
 from hotelspark.llm.quality import held_out
 
 LEXICON = 32
 STEM = 5
 MIN_SUPPORT = 5
-#: Lexicon candidates (words of at least MIN_SUPPORT toxic documents) are broadcast up to this many.
+#: Toxic documents' ids and lexicon candidates are broadcast up to this many, else joined by a shuffle.
 BROADCAST_WORDS = 200_000
+#: Parts of the labelled documents, one of which rules out most candidates, and the number of words left up to which
+#: texts are cut down to them by a list, not by a join. Neither changes a result.
+SLICES = 4
+LISTED_WORDS = 2000
 #: A lexicon voter must be right at least this often when it votes, by the lower bound of its share.
 PRECISION = 0.5
 #: Bound on the rows the linear classifier is fitted on (chosen by a hash of the row); all rows are scored.
@@ -73,21 +78,41 @@ def terms(found: Column) -> Column:
     return F.array_distinct(F.concat(found, stems))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` (settled) marked for a broadcast when there are at most BROADCAST_WORDS, else as they are."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_WORDS else rows
+
+
 def lexicon(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> list[str]:
     """Words of the training fold's toxic documents with the highest lower bound of their toxic share."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
-    learned = docs.filter(F.col("doc_id").isNotNull() & ~held_out(folds, held)).select("doc_id", "text").join(marks, "doc_id")
-    found = learned.select(F.explode(terms(words(F.col("text")))).alias("w"), "toxic")
-    # Only words of at least MIN_SUPPORT toxic documents can be voters: they are found among the toxic documents'
-    # words first, and only their rows of all documents are counted, so the common words are never shuffled. The
-    # candidates are broadcast when few enough, else joined by a shuffle.
-    candidates = found.filter(F.col("toxic") == 1).groupBy("w").agg(F.count(F.lit(1)).alias("pos")).filter(
-        F.col("pos") >= MIN_SUPPORT)
-    candidates = settled(candidates)
-    small = candidates.count() <= BROADCAST_WORDS
-    counts = found.join(F.broadcast(candidates) if small else candidates, "w", "left_semi").groupBy("w").agg(
-        F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
+    learned = docs.filter(F.col("doc_id").isNotNull() & ~held_out(folds, held)).select("doc_id", "text")
+    # Words stand in a column of their own: terms() names them twice, and Spark would split the text for each.
+    found = lambda rows: rows.select(words(F.col("text")).alias("_w"), "toxic").select(
+        F.explode(terms(F.col("_w"))).alias("w"), "toxic")
+    # Texts are many times larger than the counts, so few of them are shuffled to their labels.
+    # 1. Only words of at least MIN_SUPPORT toxic documents can be voters. The toxic documents are few; their ids are
+    #    broadcast up to BROADCAST_WORDS.
+    marked = settled(marks.filter(F.col("toxic") > 0))
+    candidates = settled(found(learned.join(_few(marked), "doc_id")).groupBy("w").agg(
+        F.sum("toxic").alias("most"), F.count(F.lit(1)).alias("hits"), F.count_if(F.col("toxic") == 1).alias("pos")).filter(
+        F.col("pos") >= MIN_SUPPORT))
+    # 2. One of SLICES parts of the other labelled documents rules out most of these words: a word whose share stays below
+    #    PRECISION even if it stood in none of the other parts cannot reach that share over all of them.
+    clean = learned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == 0).join(marks.filter(F.col("toxic") <= 0), "doc_id")
+    seen = found(clean).join(_few(candidates.select("w")), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("seen"))
+    left = settled(candidates.join(seen, "w", "left").filter(
+        F.col("most") / (F.col("hits") + F.coalesce("seen", F.lit(0))) >= PRECISION).select("w"))
+    # 3. The words left are counted in all labelled documents: each text is cut down to them before it meets its label.
+    split = learned.select("doc_id", words(F.col("text")).alias("_w"))
+    if left.count() <= LISTED_WORDS:
+        held_words = F.array(*[F.lit(r.w) for r in left.collect()]).cast("array<string>")
+        rows = split.select("doc_id", F.array_intersect(terms(F.col("_w")), held_words).alias("ws"))
+        rows = rows.join(marks, "doc_id").select(F.explode("ws").alias("w"), "toxic")
+    else:
+        rows = split.select("doc_id", F.explode(terms(F.col("_w"))).alias("w")).join(_few(left), "w", "left_semi").join(marks, "doc_id")
+    counts = rows.groupBy("w").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
     z = 1.96
     p = F.col("pos") / F.col("n")
     bound = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") ** 2))) / (
@@ -228,7 +253,8 @@ def _features(docs: DataFrame, lexicon_: list[str]) -> DataFrame:
 
 def _voted(docs: DataFrame, lexicon_: list[str]) -> DataFrame:
     """``docs`` with terms ``_t``, lower-cased text ``_l`` and votes ``_v``, each computed once per row."""
-    both = docs.withColumns({"_t": terms(words(F.col("text"))), "_l": F.lower(F.coalesce(F.col("text"), F.lit("")))})
+    both = docs.withColumns({"_w": words(F.col("text")), "_l": F.lower(F.coalesce(F.col("text"), F.lit("")))})
+    both = both.withColumn("_t", terms(F.col("_w"))).drop("_w")
     return both.withColumn("_v", votes(F.col("text"), lexicon_, F.col("_t"), F.col("_l")))
 
 
@@ -250,7 +276,15 @@ def _prepared(docs: DataFrame, labels: DataFrame, folds: int, held: int):
     docs = docs.select("doc_id", "text")
     words_ = lexicon(docs, labels, folds, held)
     hashed = _hashing()
-    return words_, hashed, settled(featured(docs, words_, hashed))
+    return words_, hashed, _kept(featured(docs, words_, hashed))
+
+
+def _kept(table: DataFrame) -> DataFrame:
+    """``table`` written once to the shared folder as Parquet, which packs the hashed words far better than a checkpoint
+    and lets the label model read the votes alone. Like a checkpoint it stays there until the folder is cleared."""
+    path = f"{shared_folder(table.sparkSession)}/featured-{uuid.uuid4().hex}"
+    table.write.option("compression", "zstd").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def _fit(table: DataFrame, labels: DataFrame, words_: list[str], hashed: HashingTF, folds: int, held: int):

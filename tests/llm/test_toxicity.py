@@ -59,3 +59,48 @@ def test_given_table_scores_held_out_rows_and_hard_cases(spark):
     apart = toxicity.score_documents(docs, learned).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True)
     assert len(both) == docs.count() and (both.doc_id == apart.doc_id).all()
     assert (both.score - apart.score).abs().max() < 1e-6 and (both.predicted == apart.predicted).all()
+
+
+def plain_lexicon(docs, marks):
+    """The lexicon by plain counting; ``docs`` (doc_id, text) are all in the training fold."""
+    count = {}
+    for doc_id, text in docs:
+        if doc_id in marks:
+            found = set("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+            for w in found | {w[:toxicity.STEM] + "*" for w in found if len(w) > toxicity.STEM}:
+                pos, n = count.get(w, (0, 0))
+                count[w] = (pos + marks[doc_id], n + 1)
+
+    def bound(pos, n, z=1.96):
+        p = pos / n
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+    good = [(-bound(*c), -c[0], w) for w, c in count.items() if c[0] >= toxicity.MIN_SUPPORT and bound(*c) >= toxicity.PRECISION]
+    return [w for _, _, w in sorted(good)[:toxicity.LEXICON]]
+
+
+@pytest.mark.parametrize("listed, broadcast", [(2000, 200_000), (0, 0)])
+def test_lexicon_equals_plain_counting(spark, monkeypatch, listed, broadcast):
+    monkeypatch.setattr(toxicity, "LISTED_WORDS", listed)
+    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", broadcast)
+    rng = np.random.default_rng(8)
+    common, bad = [f"plain{c}" for c in "abcdefghijklmnop"], [f"bad{c}" for c in "abcdefgh"]
+    docs, marks = [], {}
+    for i in range(900):
+        toxic = int(rng.random() < 0.3)
+        own = [w for k, w in enumerate(bad) if rng.random() < (0.5 if toxic else 0.03 * k)]
+        docs.append((i, None if i % 50 == 0 else " ".join([*rng.choice(common, 6), *own])))
+        if i % 3:
+            marks[i] = toxic
+    docs += docs[:40] + [(None, "bada badb")] * 9
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, v) for k, v in marks.items()] + [(0, None), (None, 1)], "doc_id long, toxic int")
+    held = {r.doc_id for r in frame.filter(quality.held_out(5, 0)).select("doc_id").collect()}
+    want = plain_lexicon([d for d in docs if d[0] not in held], marks)
+    assert len(want) > 4 and toxicity.lexicon(frame, labels) == want
+
+
+def test_featured_rows_are_kept_as_packed_files(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    table = toxicity._kept(toxicity.featured(docs, ["idiot"], toxicity._hashing()))
+    assert table.inputFiles() and all(f.endswith(".zstd.parquet") for f in table.inputFiles())
+    assert table.count() == docs.count() and table.columns == ["doc_id", "_v", "features", "_pick"]
