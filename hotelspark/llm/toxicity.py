@@ -38,7 +38,7 @@ from hotelspark.llm.quality import held_out
 LEXICON = 32
 STEM = 5
 MIN_SUPPORT = 5
-#: Toxic documents' ids and lexicon candidates are broadcast up to this many, else joined by a shuffle.
+#: Labelled documents' ids and lexicon candidates are broadcast up to this many, else joined by a shuffle.
 BROADCAST_WORDS = 200_000
 #: Parts of the labelled documents, one of which rules out most candidates, and the number of words left up to which
 #: texts are cut down to them by a list, not by a join. Neither changes a result.
@@ -51,6 +51,9 @@ TRAIN_ROWS = 200_000
 FEATURES = 1 << 16
 #: Distinct vote vectors per task of the label model's steps.
 TASK_ROWS = 100_000
+#: Rows per task of the classifier. Each task keeps its rows in memory for the iterations, and a few hundred MB at once
+#: do not find room there and go to disk; each further task adds its gradient to every iteration's shuffle.
+FIT_ROWS = 35_000
 ROUNDS = 20
 #: EM stops early once no probability of the label model moves by more than this.
 SETTLED = 1e-5
@@ -64,18 +67,27 @@ PATTERNS = (
     ("masked", r"[*#@$%&]{3,}", 1),
 )
 
+#: Stands in every text that shouts, and is found sooner.
+CAPITALS = r"\p{Lu}{4}"
+#: Words that start an address; "you're" is the words "you" and "re".
+ADDRESSED = ("you", "ur")
+
 _LETTERS = r"[^\p{L}]+"
 
 
 def words(text: Column) -> Column:
     """The distinct lower-cased letter runs of a text; null is the empty text."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _LETTERS), lambda w: w != ""))
+    return _distinct_words(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _distinct_words(lower: Column) -> Column:
+    return F.array_except(F.split(lower, _LETTERS), F.array(F.lit("")))
 
 
 def terms(found: Column) -> Column:
     """Words and the stems of longer words (``STEM`` letters and ``*``) of a words array."""
     stems = F.transform(F.filter(found, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
-    return F.array_distinct(F.concat(found, stems))
+    return F.array_union(found, stems)
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -83,35 +95,44 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_WORDS else rows
 
 
+def _labelled(rows: DataFrame, marks: DataFrame, now: bool) -> DataFrame:
+    """``rows`` with their labels if ``now``, else as they are; at most BROADCAST_WORDS labels are broadcast."""
+    return rows.join(_few(marks), "doc_id") if now else rows
+
+
 def lexicon(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> list[str]:
     """Words of the training fold's toxic documents with the highest lower bound of their toxic share."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
+    marks = settled(marks)
+    near = marks.count() <= BROADCAST_WORDS
     learned = docs.filter(F.col("doc_id").isNotNull() & ~held_out(folds, held)).select("doc_id", "text")
     # Words stand in a column of their own: terms() names them twice, and Spark would split the text for each.
     found = lambda rows: rows.select(words(F.col("text")).alias("_w"), "toxic").select(
         F.explode(terms(F.col("_w"))).alias("w"), "toxic")
     # Texts are many times larger than the counts, so few of them are shuffled to their labels.
     # 1. Only words of at least MIN_SUPPORT toxic documents can be voters. The toxic documents are few; their ids are
-    #    broadcast up to BROADCAST_WORDS.
-    marked = settled(marks.filter(F.col("toxic") > 0))
-    candidates = settled(found(learned.join(_few(marked), "doc_id")).groupBy("w").agg(
+    #    broadcast up to BROADCAST_WORDS, and so are those of the clean ones below.
+    candidates = settled(found(learned.join(_few(marks.filter(F.col("toxic") > 0)), "doc_id")).groupBy("w").agg(
         F.sum("toxic").alias("most"), F.count(F.lit(1)).alias("hits"), F.count_if(F.col("toxic") == 1).alias("pos")).filter(
         F.col("pos") >= MIN_SUPPORT))
     # 2. One of SLICES parts of the other labelled documents rules out most of these words: a word whose share stays below
     #    PRECISION even if it stood in none of the other parts cannot reach that share over all of them.
-    clean = learned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == 0).join(marks.filter(F.col("toxic") <= 0), "doc_id")
+    clean = learned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == 0).join(
+        _few(marks.filter(F.col("toxic") <= 0)), "doc_id")
     seen = found(clean).join(_few(candidates.select("w")), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("seen"))
     left = settled(candidates.join(seen, "w", "left").filter(
         F.col("most") / (F.col("hits") + F.coalesce("seen", F.lit(0))) >= PRECISION).select("w"))
-    # 3. The words left are counted in all labelled documents: each text is cut down to them before it meets its label.
-    split = learned.select("doc_id", words(F.col("text")).alias("_w"))
+    # 3. The words left are counted in all labelled documents: few labels are broadcast, so that only labelled texts are
+    #    split; else each text is cut down to these words before it meets its label.
+    split = _labelled(learned, marks, near).withColumn("_w", words(F.col("text"))).drop("text")
+    marked = lambda rows: _labelled(rows, marks, not near)
     if left.count() <= LISTED_WORDS:
         held_words = F.array(*[F.lit(r.w) for r in left.collect()]).cast("array<string>")
-        rows = split.select("doc_id", F.array_intersect(terms(F.col("_w")), held_words).alias("ws"))
-        rows = rows.join(marks, "doc_id").select(F.explode("ws").alias("w"), "toxic")
+        rows = split.withColumn("ws", F.array_intersect(terms(F.col("_w")), held_words)).drop("_w").filter(F.size("ws") > 0)
+        rows = marked(rows).select(F.explode("ws").alias("w"), "toxic")
     else:
-        rows = split.select("doc_id", F.explode(terms(F.col("_w"))).alias("w")).join(_few(left), "w", "left_semi").join(marks, "doc_id")
+        rows = marked(split.withColumn("w", F.explode(terms(F.col("_w")))).drop("_w").join(_few(left), "w", "left_semi"))
     counts = rows.groupBy("w").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
     z = 1.96
     p = F.col("pos") / F.col("n")
@@ -121,21 +142,34 @@ def lexicon(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -
     return [r.w for r in top.collect()]
 
 
+def _opened(lexicon_: list[str]) -> list[str]:
+    """The terms of which a text has one wherever a word matches a lexicon entry as a whole: the entries, and the
+    stems' own letters, since a word of just these letters has no stem."""
+    return sorted({*lexicon_, *(w[:-1] for w in lexicon_ if w.endswith("*"))})
+
+
+def watched(found: Column, lexicon_: list[str]) -> Column:
+    """Those of a text's terms that its votes depend on; :func:`votes` gives the same for them as for all terms."""
+    return F.array_intersect(found, F.array(*[F.lit(w) for w in {*_opened(lexicon_), *ADDRESSED}]))
+
+
 def votes(text: Column, lexicon_: list[str], found: Column | None = None, lower: Column | None = None) -> Column:
     """Array of votes (-1 abstains, 0 clean, 1 toxic): one per lexicon word, per pattern, and the clean voter.
-    ``found`` (the text's terms) and ``lower`` (its lower case) may be given as columns computed once."""
+    ``found`` (the text's terms, or the watched ones) and ``lower`` (its lower case) may be given as columns computed once."""
     found = terms(words(text)) if found is None else found
     raw = F.coalesce(text, F.lit(""))
     lower = F.lower(raw) if lower is None else lower
+    has = lambda some: F.arrays_overlap(found, F.array(*[F.lit(w) for w in some]))
     out = [F.when(F.array_contains(found, w), 1).otherwise(-1) for w in lexicon_]
     for _, pattern, vote in PATTERNS:
-        target = raw if "Lu" in pattern else lower
-        out.append(F.when(target.rlike(pattern), vote).otherwise(-1))
-    hits = F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in lexicon_]))) if lexicon_ else F.lit(0)
+        hit = raw.rlike(CAPITALS) & raw.rlike(pattern) if "Lu" in pattern else lower.rlike(pattern)
+        out.append(F.when(hit, vote).otherwise(-1))
     alternatives = [w[:-1] + r"\p{L}*" if w.endswith("*") else w for w in lexicon_] or ["\u0000"]
-    you = r"(^|[^\p{L}])(you|you're|ur)([^\p{L}]+\p{L}+){0,3}[^\p{L}]+(" + "|".join(alternatives) + r")([^\p{L}]|$)"
-    out.append(F.when(lower.rlike(you), 1).otherwise(-1))
-    out.append(F.when(hits == 0, 0).otherwise(-1))
+    you = lower.rlike(r"(^|[^\p{L}])(you|you're|ur)([^\p{L}]+\p{L}+){0,3}[^\p{L}]+(" + "|".join(alternatives) + r")([^\p{L}]|$)")
+    # A match holds whole words of both kinds, so the search, by far the dearest voter, is left out for other texts.
+    you = has(ADDRESSED) & has(_opened(lexicon_)) & you if lexicon_ else you
+    out.append(F.when(you, 1).otherwise(-1))
+    out.append(F.when(~has(lexicon_) if lexicon_ else F.lit(True), 0).otherwise(-1))
     return F.array(*out)
 
 
@@ -253,9 +287,9 @@ def _features(docs: DataFrame, lexicon_: list[str]) -> DataFrame:
 
 def _voted(docs: DataFrame, lexicon_: list[str]) -> DataFrame:
     """``docs`` with terms ``_t``, lower-cased text ``_l`` and votes ``_v``, each computed once per row."""
-    both = docs.withColumns({"_w": words(F.col("text")), "_l": F.lower(F.coalesce(F.col("text"), F.lit("")))})
-    both = both.withColumn("_t", terms(F.col("_w"))).drop("_w")
-    return both.withColumn("_v", votes(F.col("text"), lexicon_, F.col("_t"), F.col("_l")))
+    both = docs.withColumn("_l", F.lower(F.coalesce(F.col("text"), F.lit("")))).withColumn("_w", _distinct_words(F.col("_l")))
+    both = both.withColumn("_t", terms(F.col("_w"))).drop("_w").withColumn("_f", watched(F.col("_t"), lexicon_))
+    return both.withColumn("_v", votes(F.col("text"), lexicon_, F.col("_f"), F.col("_l"))).drop("_f")
 
 
 def featured(docs: DataFrame, lexicon_: list[str], hashed: HashingTF) -> DataFrame:
@@ -281,9 +315,11 @@ def _prepared(docs: DataFrame, labels: DataFrame, folds: int, held: int):
 
 def _kept(table: DataFrame) -> DataFrame:
     """``table`` written once to the shared folder as Parquet, which packs the hashed words far better than a checkpoint
-    and lets the label model read the votes alone. Like a checkpoint it stays there until the folder is cleared."""
+    and lets the label model read the votes alone. The hashed words ascend in each row, so their differences are stored.
+    Like a checkpoint it stays there until the folder is cleared."""
     path = f"{shared_folder(table.sparkSession)}/featured-{uuid.uuid4().hex}"
-    table.write.option("compression", "zstd").parquet(path)
+    table.write.options(**{"compression": "zstd", "parquet.writer.version": "v2",
+                           "parquet.enable.dictionary#features.indices.list.element": "false"}).parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
@@ -297,9 +333,9 @@ def _fit(table: DataFrame, labels: DataFrame, words_: list[str], hashed: Hashing
     pairs = F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")),
                     F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))
     soft = rows.select("features", F.explode(pairs).alias("p")).select("features", "p.label", "p.weight")
-    # The chosen rows are spread thinly over all the table's partitions; gathered into tasks of about TASK_ROWS rows
+    # The chosen rows are spread thinly over all the table's partitions; gathered into tasks of about FIT_ROWS rows
     # (no shuffle), each iteration combines a few gradients instead of one per partition of the table.
-    soft = soft.coalesce(max(1, -(-2 * min(total, TRAIN_ROWS) // TASK_ROWS)))
+    soft = soft.coalesce(max(1, -(-2 * min(total, TRAIN_ROWS) // FIT_ROWS)))
     classifier = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40, standardization=False).fit(soft)
     return words_, model, hashed, classifier
 

@@ -104,3 +104,51 @@ def test_featured_rows_are_kept_as_packed_files(spark):
     table = toxicity._kept(toxicity.featured(docs, ["idiot"], toxicity._hashing()))
     assert table.inputFiles() and all(f.endswith(".zstd.parquet") for f in table.inputFiles())
     assert table.count() == docs.count() and table.columns == ["doc_id", "_v", "features", "_pick"]
+
+
+def test_kept_hashed_words_are_stored_as_differences(spark):
+    import pyarrow.dataset as ds
+
+    docs = spark.createDataFrame([(i, f"you {'xyz' * i} idiot word{i}") for i in range(60)], "doc_id long, text string")
+    made = toxicity.featured(docs, ["idiot"], toxicity._hashing())
+    table = toxicity._kept(made)
+    kinds = {}
+    for file in table.inputFiles():
+        group = next(ds.dataset(file.removeprefix("file://")).get_fragments()).metadata.row_group(0)
+        kinds |= {c.path_in_schema: set(c.encodings) for c in map(group.column, range(group.num_columns))}
+    assert "DELTA_BINARY_PACKED" in kinds["features.indices.list.element"]
+    assert sorted(table.collect()) == sorted(made.collect())
+
+
+def plain_votes(spark, text, lexicon_):
+    """The votes by Java's own search over the whole text and its whole list of words."""
+    pattern = spark._jvm.java.util.regex.Pattern
+    found = lambda p, s: pattern.compile(p).matcher(s).find()
+    raw, lower = text or "", (text or "").lower()
+    run = set("".join(c if c.isalpha() else " " for c in lower).split())
+    run |= {w[:toxicity.STEM] + "*" for w in run if len(w) > toxicity.STEM}
+    ends = "|".join(w[:-1] + r"\p{L}*" if w.endswith("*") else w for w in lexicon_) or "\0"
+    you = r"(^|[^\p{L}])(you|you're|ur)([^\p{L}]+\p{L}+){0,3}[^\p{L}]+(" + ends + r")([^\p{L}]|$)"
+    return [*(1 if w in run else -1 for w in lexicon_),
+            *(v if found(p, raw if "Lu" in p else lower) else -1 for _, p, v in toxicity.PATTERNS),
+            1 if found(you, lower) else -1, -1 if run & set(lexicon_) else 0]
+
+
+def test_watched_terms_give_the_votes_of_the_whole_text(spark):
+    texts = ["you idiot", "you are idiots", "ur such a real stupid", "you're scum", "you a b c d idiot", "idiot you", "yours idiot",
+             "my idiotic friend", "YOU UTTER IDIOTS", "ABCD", "ABC D", "abcDEFGh", "\u00c4\u00d6\u00dc\u00c4 you", "you\nidiot\n", "you idiot\u00e9", "you \0 x",
+             "your scummy", "the scum, you", "you, 12 scum!!", "ur", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for lexicon_ in (["idiot*", "scum", "stupi*"], ["idiot", "you"], ["scum"], []):
+        got = [r._v for r in toxicity._voted(frame, lexicon_).orderBy("doc_id").select("_v").collect()]
+        assert got == [plain_votes(spark, t, lexicon_) for t in texts], lexicon_
+    seen = toxicity._voted(frame, ["idiot*"]).select(toxicity.watched(F.col("_t"), ["idiot*"]).alias("f"), "doc_id").orderBy("doc_id")
+    assert [sorted(r.f) for r in seen.limit(3).collect()] == [["idiot", "you"], ["idiot*", "you"], ["ur"]]
+
+
+def test_few_labels_come_to_the_texts(spark):
+    docs = spark.createDataFrame([(i, "some words") for i in range(20)], "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic").filter("doc_id < 9")
+    plan = lambda: toxicity._labelled(docs, marks, True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan() and "hashpartitioning" not in plan()
+    assert toxicity._labelled(docs, marks, True).count() == 9 and toxicity._labelled(docs, marks, False) is docs
